@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import packing, simhash, token_output
 from .shared import fresh_path
 
 
@@ -27,5 +27,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op6_packing)}
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_output, op6_packing, op9_simhash_dedup)}
 ORACLES: dict[str, str] = {}
