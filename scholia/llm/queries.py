@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_output
+from . import decontamination, packing, simhash, token_output
 from .shared import fresh_path
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_output.write_tokens(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), vocabulary(), end_id=0)
     return token_output.token_positions(tokens)
@@ -31,5 +35,5 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op6_packing, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op6_packing, op9_simhash_dedup)}
 ORACLES: dict[str, str] = {}
