@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, simhash, token_output
+from . import decontamination, packing, quality_classifier, simhash, token_output, toxicity
 from .shared import fresh_path
 
 
@@ -31,9 +31,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).drop("ids")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op6_packing, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op6_packing, op7_quality_classifier, op9_simhash_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
