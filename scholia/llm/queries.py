@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_classifier, simhash, token_output, toxicity
+from . import decontamination, html_extraction, packing, quality_classifier, simhash, token_output, toxicity, url_filter
 from .shared import fresh_path
 
 
@@ -27,6 +27,16 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_positions(tokens)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = url_filter.mine(url_filter.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judged(pages, mined)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).drop("ids")
 
@@ -45,5 +55,5 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op6_packing, op7_quality_classifier, op9_simhash_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_url_filter, op4_html_extraction, op6_packing, op7_quality_classifier, op9_simhash_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
