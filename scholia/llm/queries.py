@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, packing, quality_classifier, simhash, token_output, toxicity, url_filter
+from . import decontamination, html_extraction, packing, quality_classifier, quality_rules, simhash, token_counts, token_output, toxicity, url_filter
 from .shared import fresh_path
 
 
@@ -37,6 +37,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.kept_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).drop("ids")
 
@@ -51,9 +55,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch, committed twice: the second time it adds nothing."""
+    docs, rollup = table(spark, sf_dir, "documents"), token_counts.Rollup(spark, fresh_path(spark, "rollup"))
+    deltas = token_counts.inserts(token_counts.counts(docs, {"byte_bpe_50k": vocabulary()}).unionByName(token_counts.word_counts(docs)))
+    rollup.commit("load", deltas)
+    rollup.commit("load", deltas)
+    return rollup.totals()
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts kept by an insert of all documents, a revision of every count and a delete of what one source holds."""
+    docs, rollup = table(spark, sf_dir, "documents"), token_counts.Rollup(spark, fresh_path(spark, "rollup"))
+    counted = token_counts.word_counts(docs)
+    rollup.commit("insert", token_counts.inserts(counted))
+    rollup.commit("revise", token_counts.revisions(counted, counted.withColumns({"n_tokens": counted["n_tokens"] + 2})))
+    gone = counted.where("source = 'src1'")
+    rollup.commit("delete", token_counts.deletes(gone.withColumn("n_tokens", gone["n_tokens"] + 2)))
+    rollup.commit("insert", token_counts.inserts(counted))
+    return rollup.totals()
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_url_filter, op4_html_extraction, op6_packing, op7_quality_classifier, op9_simhash_dedup, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_url_filter, op4_html_extraction, op5_quality_rules, op6_packing, op7_quality_classifier, op8_token_counts, op9_simhash_dedup, op10_toxicity, token_rollup_words)}
+ORACLES: dict[str, str] = {
+    "token_rollup_words": r"""
+        SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs,
+               sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 2)::BIGINT AS n_tokens
+        FROM documents WHERE source <> 'src1' OR source IS NULL GROUP BY source, lang""",
+}
