@@ -18,10 +18,11 @@ _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
 
-    The byte-level pre-tokenizer always cuts before a single space between two visible characters,
-    so a text is the sum of its pieces between such spaces: the ids of a piece depend on nothing
-    around it and are computed once per worker.  Pieces at the ends of a text and pieces that hold
-    runs of white space are encoded by themselves.  Strings of special tokens are ordinary text.
+    The byte-level pre-tokenizer always cuts before a single space or line break between two visible
+    characters, and between a letter and a full stop or comma.  So a text is the sum of its pieces
+    between such spaces and breaks: the ids of a piece depend on nothing around it and are computed
+    once per worker.  A text with other runs of white space is cut at single spaces only, and pieces
+    that hold such runs are encoded by themselves.  Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -32,35 +33,55 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.breaks = self.opens.copy()
         for token, k in vocabulary.items():
-            self.opens[k] = token.startswith("Ġ")
+            self.opens[k], self.breaks[k] = token.startswith("Ġ"), token.startswith("Ċ")
+        # The library's own cache of words gains nothing: each word is asked for once.
+        self.tokenizer.model._resize_cache(0)
+        self.marks = dict(zip(".,", self._ids([".", ","])))
         self.cache: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        clean, own = [], []
+    def _several(self, words: list[str], before: str, opens: np.ndarray) -> None:
+        """Learns words that each follow ``before``: encoded in one text, cut where a token opens with it."""
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(opens[ids])
+            if len(starts) != len(part):
+                found = self._ids([before + w for w in part])
+            else:
+                raw, starts = ids.tobytes(), (starts * 4).tolist()
+                found = [raw[a:e] for a, e in zip(starts, [*starts[1:], len(raw)])]
+            self.cache.update(zip(part if before == " " else [before + w for w in part], found, strict=True))
+
+    def _learn(self, words) -> None:
+        after_space, after_line, own, ended = set(), [], [], []
         for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
+            if not w or w[-1].isspace():
                 self.cache[w] = None
+            elif w[0] == "\n" and not w[1].isspace():
+                after_line.append(w[1:])
+            elif w[0].isspace():
+                self.cache[w] = None
+            elif " " in w or "\n" in w:
+                own.append(w)
+            elif w[-1] in self.marks and len(w) > 1 and w[-2].isalpha():
+                ended.append(w)
+                if w[:-1] not in self.cache:
+                    after_space.add(w[:-1])
             else:
-                (own if " " in w else clean).append(w)
-        for k in range(0, len(clean), 2000):
-            part = clean[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):
-                self.cache.update(zip(part, self._ids([" " + w for w in part]), strict=True))
-                continue
-            raw, starts = ids.tobytes(), starts * 4
-            self.cache.update((w, raw[a:e]) for w, a, e in zip(part, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True))
-        if own:
-            self.cache.update(zip(own, self._ids([" " + w for w in own]), strict=True))
+                after_space.add(w)
+        self._several(list(after_space), " ", self.opens)
+        self._several(after_line, "\n", self.breaks)
+        self.cache.update((w, self.cache[w[:-1]] + self.marks[w[-1]]) for w in ended)
+        self.cache.update(zip(own, self._ids([" " + w for w in own]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        pieces = [t.split(" ") for t in texts]
+        pieces = [t.replace("\n", " \n").split(" ") for t in texts]
         firsts = self._ids([p[0] for p in pieces])
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
@@ -68,12 +89,12 @@ class Encoder:
         for p in pieces:
             new.update(p[1:])
         new.difference_update(self.cache)
-        self._learn(list(new))
+        self._learn(new)
         out = []
         for k, p in enumerate(pieces):
             try:
                 out.append(firsts[k] if len(p) == 1 else firsts[k] + b"".join(map(self.cache.__getitem__, p[1:])))
-            except TypeError:  # a piece with white space at an end
+            except TypeError:  # other white space
                 out.append(self._apart(texts[k]))
         for w in new:
             if len(w) > LONG_WORD:
