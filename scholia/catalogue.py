@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import adapters as ad
-from .functions import boxes, code, tables, text
-from .operators import catalog, crosspage, filters, index, ingest, layout, library, selection, toc, vector
+from .functions import boxes, code, repair, tables, text
+from .operators import catalog, crosspage, filters, index, ingest, layout, library, reflow, selection, toc, vector
 from .plans import dsl
 from .sources import blocks, store
 from .streaming import incremental
@@ -700,3 +700,158 @@ def events_window(spark, sf):
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 minutes AS session_end, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def events_sessions(spark, sf):
     return incremental.sessions(ad.table(spark, sf, "events"))
+
+
+# ---- reflow ----
+
+
+_NODES = f"{ad.SECTIONS}, nodes AS (SELECT doc, (page * 1000 + seq)::INT AS seq, page, (1 + seq % 2)::INT AS depth, CASE WHEN seq % 3 = 1 THEN NULL ELSE '1.' || (seq % 5 + 1) END AS number, text FROM sections)"
+
+
+def _nodes(spark, sf):
+    s = ad.sections(spark, sf)
+    return s.select("doc", (F.col("page") * 1000 + F.col("seq")).cast("int").alias("seq"), "page", (1 + F.col("seq") % 2).cast("int").alias("depth"), F.when(F.col("seq") % 3 != 1, F.concat(F.lit("1."), F.col("seq") % 5 + 1)).alias("number"), "text")
+
+
+@query()
+def reflow_document(spark, sf):
+    """Lines of documents as nodes, through all passes."""
+    rows = _nodes(spark, sf).withColumn("kind", F.when(F.col("seq") % 1000 == 0, "heading").otherwise("text"))
+    return reflow.reflowed(rows.select("doc", "seq", "kind", "depth", F.lit(None).cast("string").alias("number"), "text"))
+
+
+@query()
+def reflow_markdown(spark, sf):
+    rows = _nodes(spark, sf).withColumn("kind", F.when(F.col("seq") % 1000 == 0, "heading").otherwise("text"))
+    return reflow.rendered(rows.select("doc", "seq", "kind", "depth", "number", "text"))
+
+
+@query(f"""WITH {_NODES}, k AS (SELECT *, regexp_replace(number, '\\.?\\d+$', '') AS parent, regexp_extract(number, '(\\d+)$', 1)::INT AS last FROM nodes WHERE number IS NOT NULL), s AS (SELECT doc, seq AS low, depth AS at_depth, last, lead(seq) OVER w AS high, lead(last) OVER w AS next_last FROM k WINDOW w AS (PARTITION BY doc, parent, depth ORDER BY seq))
+  SELECT DISTINCT n.doc, n.seq FROM nodes n JOIN s ON s.doc = n.doc AND n.number IS NULL AND next_last = last + 1 AND n.seq > low AND n.seq < high AND n.depth <= at_depth""".replace("\\\\", "\\"))
+def heading_interrupters(spark, sf):
+    return reflow.interrupters(_nodes(spark, sf))
+
+
+@query("SELECT 'd' || (doc_id // 20) AS doc, chr(65 + (doc_id % 3)::INT) AS letter, min(doc_id)::BIGINT AS before_seq FROM documents WHERE doc_id % 3 <> 1 GROUP BY ALL")
+def appendix_parents(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    letter = F.chr(F.lit(65) + F.col("doc_id") % 3)
+    return reflow.appendix_parents(d.select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20)).alias("doc"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 1, letter).otherwise(F.concat(letter, F.lit("."), F.col("doc_id") % 7 + 1)).alias("number")))
+
+
+@query("SELECT doc, marker, seq FROM (SELECT 'd' || (doc_id // 20) AS doc, CASE WHEN doc_id % 4 = 0 THEN '' ELSE (doc_id % 6)::VARCHAR END AS marker, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 20, CASE WHEN doc_id % 4 = 0 THEN '' ELSE (doc_id % 6)::VARCHAR END ORDER BY doc_id) AS n FROM documents) WHERE n = 1 OR marker = ''")
+def first_notes(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    return reflow.first_notes(d.select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20)).alias("doc"), F.when(F.col("doc_id") % 4 == 0, "").otherwise((F.col("doc_id") % 6).cast("string")).alias("marker"), F.col("doc_id").alias("seq")))
+
+
+@query("SELECT doc_id, ['figure', NULL, 'proof', NULL, 'thm.'][doc_id % 5 + 1] AS label FROM documents")
+def fn_label(spark, sf):
+    forms = F.array(*[F.lit(x) for x in ("Figure 3: what it shows", "Figure 12 shows a long case of prose that goes on and on, well past eighty letters, about the figure", "Proof", "figment of nothing", "Thm. 2 holds")])
+    return ad.table(spark, sf, "documents").select("doc_id", repair.label(F.get(forms, (F.col("doc_id") % 5).cast("int"))).alias("label"))
+
+
+@query("SELECT doc_id, 'Once upon a well-set time in ' || lang AS text FROM documents")
+def fn_repairs(spark, sf):
+    raw = F.concat(F.lit("O nce  up-\non a well-set\ntime in "), "lang")
+    return ad.table(spark, sf, "documents").select("doc_id", repair.single_spaces(repair.joined_hyphens(repair.drop_cap(raw))).alias("text"))
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS same FROM customer")
+def fn_title_match(spark, sf):
+    a = F.concat(F.lit("2.1 Results of "), "c_mktsegment")
+    b = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("RESULTS OF "), "c_mktsegment", F.lit("."))).otherwise("Quite another heading")
+    return ad.table(spark, sf, "customer").select("c_custkey", repair.title_match(a, b).alias("same"))
+
+
+@query("SELECT p_partkey, 'https://arxiv.org/pdf/' || p_partkey AS url FROM part")
+def fetch_candidates(spark, sf):
+    arxiv = F.concat(F.lit("https://arxiv.org/pdf/"), "p_partkey")
+    urls = repair.fetch_candidates(F.lit("https://elsewhere.test/x"), arxiv, F.lit(None).cast("string"), arxiv)
+    return ad.table(spark, sf, "part").select("p_partkey", F.explode(urls).alias("url"))
+
+
+# ---- more geometry and cross-page statistics ----
+
+
+@query()
+def region_duplicates(spark, sf):
+    return layout.without_duplicates(ad.regions(spark, sf))
+
+
+@query()
+def formula_numbers(spark, sf):
+    kinds = F.when(F.col("kind") == "Image", "FormulaNumber").when(F.col("kind") == "Chart", "DisplayFormula").otherwise(F.col("kind"))
+    return layout.formula_numbers(ad.regions(spark, sf).withColumn("kind", kinds))
+
+
+@query()
+def reference_columns(spark, sf):
+    return layout.same_columns(ad.regions(spark, sf), "Text")
+
+
+@query(f"""WITH {ad.REGIONS}, d AS (SELECT doc, page, id, kind, x1, y1, x2, y2, confidence FROM regions WHERE kind = 'Text' UNION ALL SELECT doc, page, 'a' || id, 'Abstract', x1, y1, x2 + (CASE WHEN page % 2 = 0 THEN 0 ELSE 90 END), y2, confidence FROM regions WHERE kind = 'Text')
+  SELECT DISTINCT t.doc, t.page, CASE WHEN a.confidence > 0.5 THEN t.id ELSE a.id END AS id FROM d t JOIN d a ON t.doc = a.doc AND t.page = a.page AND t.kind = 'Text' AND a.kind = 'Abstract'
+  WHERE greatest(least(t.x2, a.x2) - greatest(t.x1, a.x1), 0) * greatest(least(t.y2, a.y2) - greatest(t.y1, a.y1), 0) / greatest((t.x2 - t.x1) * (t.y2 - t.y1), (a.x2 - a.x1) * (a.y2 - a.y1)) >= 0.95""")
+def abstract_duplicates(spark, sf):
+    t = ad.regions(spark, sf).where("kind = 'Text'")
+    a = t.withColumns({"id": F.concat(F.lit("a"), "id"), "kind": F.lit("Abstract"), "x2": F.col("x2") + F.when(F.col("page") % 2 == 0, 0).otherwise(90)})
+    return layout.abstract_duplicates(t.unionByName(a))
+
+
+@query(f"""WITH {ad.REGIONS} SELECT doc, page, id, string_agg(ch, '' ORDER BY seq) AS text FROM (SELECT r.doc, r.page, r.id, g.l_linenumber AS seq, chr(65 + g.l_linenumber) AS ch FROM regions r JOIN lineitem g ON r.doc = 'd' || (g.l_orderkey // 400) AND r.page = ((g.l_orderkey // 20) % 20) AND r.kind = 'Table' AND g.l_orderkey % 20 = 1
+  AND (g.l_linenumber * 60 + 5) BETWEEN r.x1 AND r.x2 AND (g.l_linenumber * 90 + 5) BETWEEN r.y1 AND r.y2) GROUP BY ALL""")
+def glyphs_in_regions(spark, sf):
+    g = ad.table(spark, sf, "lineitem").where("l_orderkey % 20 = 1")
+    n = F.col("l_linenumber")
+    glyphs = g.select(F.concat(F.lit("d"), F.floor(F.col("l_orderkey") / 400)).alias("doc"), F.floor(F.col("l_orderkey") / 20 % 20).cast("int").alias("page"), n.alias("seq"), F.chr(65 + n).alias("char"), (n * 60).alias("gx1"), (n * 60 + 10).alias("gx2"), (n * 90).alias("gy1"), (n * 90 + 10).alias("gy2"))
+    return layout.glyphs_in_regions(glyphs, ad.regions(spark, sf).where("kind = 'Table'"))
+
+
+@query(f"""WITH {ad.SECTIONS}, r AS (SELECT doc, page, CASE seq WHEN 0 THEN 'the head' ELSE 'line of ' || chr(97 + seq % 26) END AS key, 10.0 + seq * 100 AS y1 FROM sections WHERE seq < 7), e AS (
+  SELECT doc, page, key FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y1) AS n FROM r) WHERE n = 1 UNION ALL SELECT doc, page, key FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y1 DESC) AS n FROM r) WHERE n = 1 UNION ALL SELECT doc, page, key FROM r WHERE y1 < 96 OR y1 + 10 > 680)
+  SELECT doc, key, count(*)::BIGINT AS times FROM e GROUP BY doc, key HAVING count(*) >= 4""")
+def running_headers(spark, sf):
+    s = ad.sections(spark, sf).where("seq < 7")
+    y = 10.0 + F.col("seq") * 100
+    rows = s.select("doc", "page", F.when(F.col("seq") == 0, "The Head 12").otherwise(F.concat(F.lit("line of "), F.chr(97 + F.col("seq") % 26))).alias("text"), y.alias("y1"), (y + 10).alias("y2"), F.lit(50.0).alias("x1"), F.lit(90.0).alias("x2"), F.lit(800.0).alias("height"), F.lit(600.0).alias("width"))
+    return crosspage.running_headers(rows)
+
+
+@query(f"WITH {ad.SECTIONS} SELECT doc, (1 + seq % 3)::INT AS depth, avg((seq % 4 = 0)::INT) < 0.3 AS auto FROM sections GROUP BY doc, seq % 3")
+def auto_numbered(spark, sf):
+    s = ad.sections(spark, sf)
+    return crosspage.auto_numbered(s.select("doc", (1 + F.col("seq") % 3).cast("int").alias("depth"), F.when(F.col("seq") % 4 == 0, "1.2 Head").otherwise("Head").alias("text")))
+
+
+@query(f"""WITH {ad.SECTIONS}, g AS (SELECT doc, page, seq, CASE WHEN seq % 5 < 3 THEN 'A' ELSE 'B' END AS family, chr(97 + seq % 26) AS text FROM sections), c AS (SELECT *, CASE WHEN lag(family) OVER w = family THEN 0 ELSE 1 END AS fresh FROM g WINDOW w AS (PARTITION BY doc, page ORDER BY seq)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc, page ORDER BY seq)::BIGINT AS run FROM c)
+  SELECT doc, page, run, any_value(family) AS family, string_agg(text, '' ORDER BY seq) AS text FROM r GROUP BY doc, page, run""")
+def font_runs(spark, sf):
+    s = ad.sections(spark, sf)
+    return crosspage.font_runs(s.select("doc", "page", "seq", F.when(F.col("seq") % 5 < 3, "A").otherwise("B").alias("family"), F.chr(97 + F.col("seq") % 26).alias("text")))
+
+
+@query(f"""WITH {_NODES} SELECT doc, seq, coalesce(len(string_split(number, '.')), last_value(len(string_split(number, '.')) IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 1)::INT AS depth FROM nodes""")
+def inferred_depths(spark, sf):
+    return crosspage.inferred_depths(_nodes(spark, sf)).select("doc", "seq", F.col("depth").cast("int").alias("depth"))
+
+
+@query(f"""WITH {ad.SECTIONS}, h AS (SELECT doc, page, 1 AS depth, seq, 'part ' || seq AS text, seq % 3 = 0 AS starts FROM sections WHERE seq < 9), p AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc, page ORDER BY seq) AS part FROM h)
+  SELECT doc, page, depth::INT AS depth, min(seq)::INT AS seq, string_agg(text, ' ' ORDER BY seq) AS text FROM p GROUP BY doc, page, depth, part""")
+def merged_headings(spark, sf):
+    s, seq = ad.sections(spark, sf).where("seq < 9"), F.col("seq")
+    y = seq * 12.0 + F.floor(seq / 3) * 50
+    return reflow.merged_headings(s.select("doc", "page", F.lit(1).alias("depth"), "seq", F.concat(F.lit("part "), "seq").alias("text"), y.alias("y1"), (y + 10).alias("y2"), F.lit(10.0).alias("height")))
+
+
+@query("SELECT 'd' || (doc_id // 20) AS doc, ['references', 'index'][doc_id % 2 + 1] AS title, count(*)::BIGINT AS times, count(*) = 1 AS sole FROM documents WHERE doc_id % 7 < 2 GROUP BY ALL")
+def back_matter_titles(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    title = F.when(F.col("doc_id") % 7 < 2, F.get(F.array(F.lit(" References"), F.lit("INDEX ")), (F.col("doc_id") % 2).cast("int"))).otherwise("Body")
+    return reflow.back_matter_titles(d.select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20)).alias("doc"), title.alias("text")), ["references", "index"])
+
+
+@query(f"WITH {ad.REGIONS} SELECT doc, page, id, least(greatest(x1, 0), 400.0)::DOUBLE AS x1, least(greatest(x2, 0), 400.0)::DOUBLE AS x2 FROM regions WHERE confidence >= 0.5 AND kind IN ('Text', 'Table')")
+def detections(spark, sf):
+    rows = ad.regions(spark, sf).withColumns({"score": F.col("confidence"), "width": F.lit(400.0), "height": F.lit(500.0), "order_key": F.col("id")})
+    return layout.detections(rows, ["Text", "Table"], 0.5).select("doc", "page", "id", "x1", "x2")

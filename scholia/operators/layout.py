@@ -159,3 +159,76 @@ def lines(glyphs: list[tuple], pad: float = 0.3) -> list[list]:
             out.append([(x1, text)])
             low, high = y1, y2
     return ["".join(t for _, t in sorted(line)) for line in out]
+
+
+#: Which of two overlapping regions stays: the higher; others count 0.
+PRIORITY = {"Table": 3, "Algorithm": 2, "Image": 2, "DisplayFormula": 2, "Footnote": 1}
+
+
+def kept_of_duplicates(rows: list[dict], share: float = 0.5) -> list:
+    """Ids that stay when, pair by pair in order, the lower of two regions that overlap by more than ``share`` of the smaller goes; of equals the later."""
+    gone: set = set()
+    size = lambda r: max(0.0, r["x2"] - r["x1"]) * max(0.0, r["y2"] - r["y1"])
+    for k, a in enumerate(rows):
+        for b in rows[k + 1 :]:
+            if a["id"] in gone or b["id"] in gone or not min(size(a), size(b)):
+                continue
+            both = max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) * max(0.0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
+            if both > share * min(size(a), size(b)):
+                gone.add(a["id"] if PRIORITY.get(a["kind"], 0) < PRIORITY.get(b["kind"], 0) else b["id"])
+    return [r["id"] for r in rows if r["id"] not in gone]
+
+
+def without_duplicates(regions: DataFrame) -> DataFrame:
+    """doc, page, id of the regions that stay."""
+
+    def keep(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc": key[0], "page": key[1], "id": kept_of_duplicates(pdf.sort_values("id").to_dict("records"))})
+
+    return regions.groupBy(*PAGE).applyInPandas(keep, "doc string, page int, id string")
+
+
+def formula_numbers(regions: DataFrame, reach: float = 50.0) -> DataFrame:
+    """doc, page, number_id, formula_id: each formula number and the display formula level with it, nearest pairs first, one to one."""
+
+    def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("id").to_dict("records")
+        middle = lambda r: (r["y1"] + r["y2"]) / 2
+        found = sorted((abs(middle(n) - middle(f)), n["id"], f["id"]) for n in rows if n["kind"] == "FormulaNumber" for f in rows if f["kind"] == "DisplayFormula")
+        out: dict = {}
+        for far, n, f in found:
+            if far <= reach and n not in out and f not in out.values():
+                out[n] = f
+        return pd.DataFrame({"doc": key[0], "page": key[1], "number_id": list(out), "formula_id": list(out.values())})
+
+    return regions.groupBy(*PAGE).applyInPandas(match, "doc string, page int, number_id string, formula_id string")
+
+
+def abstract_duplicates(regions: DataFrame, ratio: float = 0.95, least: float = 0.5) -> DataFrame:
+    """doc, page, id of the abstract or text to drop where both have one box: the abstract stays if it is confident enough."""
+    a = regions.where(F.col("kind") == "Abstract").select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in ("id", "x1", "y1", "x2", "y2", "confidence")])
+    rows = regions.where(F.col("kind") == "Text").join(a, PAGE)
+    shared = boxes.intersection(boxes.box(), boxes.box("a_")) / F.greatest(boxes.area(boxes.box()), boxes.area(boxes.box("a_")))
+    return rows.where(shared >= ratio).select(*PAGE, F.when(F.col("a_confidence") > least, F.col("id")).otherwise(F.col("a_id")).alias("id")).distinct()
+
+
+def same_columns(regions: DataFrame, kind: str = "References", share: float = 0.5) -> DataFrame:
+    """doc, page, id, column of a kind's regions: those that overlap across by more than half of the narrower are one column."""
+
+    def columns(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf[pdf.kind == kind].sort_values("id").to_dict("records")
+        top = {r["id"]: r["id"] for r in rows}
+
+        def find(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for k, a in enumerate(rows):
+            for b in rows[k + 1 :]:
+                if min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]) > share * min(a["x2"] - a["x1"], b["x2"] - b["x1"]):
+                    x, y = find(a["id"]), find(b["id"])
+                    top[max(x, y)] = min(x, y)
+        return pd.DataFrame({"doc": key[0], "page": key[1], "id": list(top), "column": [find(i) for i in top]})
+
+    return regions.groupBy(*PAGE).applyInPandas(columns, "doc string, page int, id string, column string")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from scholia import schemas
 from scholia.functions import code, tables, text
-from scholia.operators import catalog, crosspage, filters, index, ingest, layout, library, selection, toc
+from scholia.operators import catalog, crosspage, filters, index, ingest, layout, library, reflow, selection, toc
 from scholia.plans import dsl
 from scholia.sources import blocks
+from scholia.sources.embeddings import EmbeddingCache
 from scholia.sources.store import Store
 from scholia.streaming import incremental
 
@@ -265,3 +266,45 @@ def test_upsert_stream_is_idempotent(spark, tmp_path):
         run.processAllAvailable()
         run.stop()
     assert held.table("chunks").count() == 4
+
+
+def nodes(*rows):
+    return [{"kind": k, "depth": d, "text": t} for k, d, t in rows]
+
+
+def test_reflow_passes():
+    got = reflow.without_echoes(nodes(("heading", 1, "Big Results"), ("text", None, "Big results. Then the text."), ("text", None, "Other")))
+    assert [n["text"] for n in got] == ["Big Results", "Then the text.", "Other"]
+    assert len(reflow.without_echoes(nodes(("heading", 1, "Big Results"), ("text", None, "BIG RESULTS")))) == 1
+    got = reflow.without_repeats(nodes(("text", None, "a b c d e"), ("formula", None, "x"), ("text", None, "a b c d e f"), ("text", None, "quite other words stand here")))
+    assert [n["text"] for n in got] == ["a b c d e f", "x", "quite other words stand here"]
+    got = reflow.split_notes(nodes(("text", None, "A sentence long enough here.1The note says so much"), ("footnote", None, "1 again"), ("footnote", None, "* star")))
+    assert [(n["kind"], n.get("number"), n["text"]) for n in got] == [("text", None, "A sentence long enough here."), ("footnote", "1", "The note says so much"), ("footnote", "*", "star")]
+    got = reflow.with_lists_and_code(nodes(("text", None, "1. a\n2. b"), ("text", None, "int f(int a) {\n  return a[0] == 2;\n}"), ("text", None, "x = g(1);\n  y[2] != z(3);\n")))
+    assert [n["kind"] for n in got] == ["list", "code"]
+    assert [n["text"] for n in reflow.rejoined(nodes(("text", None, "cut wo-"), ("text", None, "rd here"), ("text", None, "and on."), ("text", None, "next")))] == ["cut word here and on.", "next"]
+    got = reflow.numbered(nodes(("heading", 1, "A"), ("heading", 2, "B"), ("heading", 2, "C"), ("heading", 1, "D"), ("heading", 2, "E")))
+    assert [n["number"] for n in got] == ["1", "1.1", "1.2", "2", "2.1"]
+    got = reflow.numbered(nodes(("heading", 1, "3 A"), ("heading", 2, "B")))
+    assert [(n["number"], n["text"]) for n in got] == [("3", "A"), ("3.1", "B")]
+    assert reflow.markdown(got + nodes(("list", None, "- a\n- b"), ("code", None, "x"))) == "# 3 A\n\n## 3.1 B\n\n- a\n- b\n\n```\nx\n```"
+
+
+def test_embedding_cache(spark, tmp_path):
+    held = EmbeddingCache(spark, str(tmp_path / "e"))
+    assert held.table().count() == 0
+    rows = spark.createDataFrame([("m", "K/1", k, [float(k), 1.0]) for k in range(3)], "model string, item_key string, row int, vector array<float>")
+    held.save(rows, 2)
+    assert [r.vector[0] for r in held.load("m", "K/1").collect()] == [0.0, 1.0, 2.0] and held.load("m", "K/1", 2).count() == 1
+    assert held.is_fresh("m", "K/1", 3) and not held.is_fresh("m", "K/1", 4) and held.pairs().count() == 1
+    with pytest.raises(FileExistsError):
+        held.save(rows, 2)
+    with pytest.raises(ValueError):
+        held.save(rows, 3)
+    held.save(rows.where("row = 0"), 2, replace=True)
+    assert held.load("m", "K/1").count() == 1
+
+
+def test_duplicate_regions():
+    box = lambda i, kind, x: {"id": i, "kind": kind, "x1": x, "x2": x + 10, "y1": 0, "y2": 10}
+    assert layout.kept_of_duplicates([box("a", "Text", 0), box("b", "Table", 2), box("c", "Text", 3), box("d", "Text", 40)]) == ["b", "d"]
