@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as ad
 from .functions import boxes, code, repair, tables, text
+from .operators import blocks as page_lines
 from .operators import catalog, crosspage, filters, index, ingest, layout, library, reflow, selection, toc, vector
 from .plans import dsl
 from .sources import blocks, store
@@ -855,3 +856,85 @@ def back_matter_titles(spark, sf):
 def detections(spark, sf):
     rows = ad.regions(spark, sf).withColumns({"score": F.col("confidence"), "width": F.lit(400.0), "height": F.lit(500.0), "order_key": F.col("id")})
     return layout.detections(rows, ["Text", "Table"], 0.5).select("doc", "page", "id", "x1", "x2")
+
+
+# ---- more of library, lines and contents ----
+
+
+@query(f"WITH {ad.ITEMS} SELECT item_key, title FROM items ORDER BY title DESC NULLS LAST, item_key LIMIT 25 OFFSET 25")
+def lib_listing(spark, sf):
+    return library.listing(ad.items(spark, sf), "title", True, 25, 25).select("item_key", "title")
+
+
+@query(f"WITH {ad.ITEMS} SELECT tag, count(DISTINCT item_key)::BIGINT AS items FROM (SELECT item_key, unnest(tags) AS tag FROM items) WHERE starts_with(lower(tag), 'u') GROUP BY tag")
+def lib_tag_search(spark, sf):
+    return library.searched_tags(ad.items(spark, sf), "U", "startsWith")
+
+
+@query(f"WITH {ad.ITEMS} SELECT i.item_key, string_agg('Name ' || c, '; ' ORDER BY c) AS names FROM (SELECT item_key, unnest(collections) AS c FROM items) i WHERE c <> 'C3' GROUP BY i.item_key")
+def lib_item_collections(spark, sf):
+    names = spark.createDataFrame([(f"C{k}", f"Name C{k}") for k in range(3)], "collection_key string, name string")
+    return library.item_collections(ad.items(spark, sf), names)
+
+
+@query(f"""WITH {ad.ITEMS}, x AS (SELECT item_key, parent_key, CASE WHEN event_id % 2 = 0 THEN 'annotation' ELSE item_type END AS item_type, CASE WHEN event_id % 3 = 1 THEN 'text/html' ELSE content_type END AS content_type, event_id FROM items),
+  y AS (SELECT item_key, CASE WHEN event_id % 3 = 1 THEN 'I' || (event_id - 1) ELSE parent_key END AS parent_key, item_type, content_type FROM x)
+  SELECT w.item_key AS work_key, a.item_key AS attachment_key, n.item_key AS annotation_key FROM y w JOIN y a ON a.parent_key = w.item_key AND a.content_type IN ('application/pdf', 'application/epub+zip', 'text/html') JOIN y n ON n.parent_key = a.item_key AND n.item_type = 'annotation' WHERE w.parent_key IS NULL""")
+def lib_annotations(spark, sf):
+    items = ad.items(spark, sf)
+    second = F.col("event_id") % 3 == 1
+    rows = items.select("item_key", F.when(second, F.concat(F.lit("I"), F.col("event_id") - 1)).otherwise(F.col("parent_key")).alias("parent_key"), F.when(F.col("event_id") % 2 == 0, "annotation").otherwise(F.col("item_type")).alias("item_type"), F.when(second, "text/html").otherwise(F.col("content_type")).alias("content_type"))
+    return library.annotations_of(rows).select("work_key", "attachment_key", "annotation_key")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '0002') ORDER BY c_custkey LIMIT 1")
+def lib_resolve(spark, sf):
+    rows = ad.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return library.found_by_key_or_name(rows.withColumn("k", F.lpad(F.col("c_custkey").cast("string"), 12, "0")), "0002", "k", "c_name").select("c_custkey", "c_name")
+
+
+@query("SELECT 'I' || (event_id % 50) AS item_key, max(event_id)::BIGINT AS version FROM events WHERE event_id > 300 GROUP BY event_id % 50")
+def lib_fulltext_versions(spark, sf):
+    e = ad.table(spark, sf, "events")
+    return library.fulltext_versions(e.select(F.concat(F.lit("I"), F.col("event_id") % 50).alias("item_key"), F.col("event_id").alias("version")), 300)
+
+
+@query("SELECT event_id FROM events WHERE 500 - event_id <= 120")
+def cache_fresh(spark, sf):
+    return blocks.fresh(ad.table(spark, sf, "events").select("event_id", F.col("event_id").alias("ts")), F.lit(500), 120).select("event_id")
+
+
+@query()
+def page_blocks(spark, sf):
+    """Regions as lines, grouped into blocks."""
+    rows = ad.regions(spark, sf).select("doc", "page", "x1", "y1", "x2", "y2", (F.col("confidence") * 10 + 5).alias("size"), F.concat(F.lit("line "), "id").alias("text"))
+    return page_lines.page_blocks(rows)
+
+
+@query(f"WITH {ad.SECTIONS}, h AS (SELECT doc, page, (page * 1000 + seq) AS seq, seq * 10.0 AS y2 FROM sections WHERE seq % 3 = 0), c AS (SELECT doc, page, seq * 10.0 AS y1 FROM sections WHERE seq % 3 = 1) SELECT doc, seq FROM h WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = h.doc AND c.page = h.page AND c.y1 >= h.y2)")
+def empty_headings(spark, sf):
+    s = ad.sections(spark, sf)
+    return page_lines.empty_headings(s.where("seq % 3 = 0").select("doc", "page", (F.col("page") * 1000 + F.col("seq")).alias("seq"), (F.col("seq") * 10.0).alias("y2")), s.where("seq % 3 = 1").select("doc", "page", (F.col("seq") * 10.0).alias("y1")))
+
+
+@query(f"WITH {ad.SECTIONS}, n AS (SELECT doc, page * 1000 + seq AS seq, CASE WHEN seq = 0 THEN 1 ELSE 2 END AS depth, CASE WHEN seq = 0 AND page % 4 = 0 THEN TRUE WHEN seq = 0 THEN FALSE END AS top FROM sections), m AS (SELECT *, last_value(top IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS f FROM n) SELECT doc, seq FROM m WHERE depth = 1 OR NOT coalesce(f, false)")
+def front_matter_collapse(spark, sf):
+    s, first = ad.sections(spark, sf), F.col("seq") == 0
+    rows = s.select("doc", (F.col("page") * 1000 + F.col("seq")).alias("seq"), F.when(first, 1).otherwise(2).alias("depth"), F.when(first & (F.col("page") % 4 == 0), "Preface ").otherwise("Body").alias("text"))
+    return page_lines.collapsed_front_matter(rows, ["preface"]).select("doc", "seq")
+
+
+@query(f"WITH {_TOC}, b AS (SELECT doc, page, unnest([0, 1, 2]) AS block, page AS n FROM sections WHERE seq = 0) SELECT t.doc, t.seq, min(block)::INT AS block FROM toc t JOIN b ON b.doc = t.doc AND b.page = t.seq AND b.block > 0 GROUP BY t.doc, t.seq")
+def contents_anchors(spark, sf):
+    t = _toc(spark, sf)
+    b = t.select("doc", F.col("seq").alias("page"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("block"), F.upper("title").alias("title"))
+    b = b.withColumn("text", F.when(F.col("block") == 0, "other words").otherwise(F.concat("title", F.lit(": and on"))))
+    return page_lines.contents_anchors(t.select("doc", "seq", F.col("seq").alias("page"), "title"), b)
+
+
+@query()
+def chunk_fold_tree(spark, sf):
+    """Lines as reflow nodes, folded into chunks by the tree's rules."""
+    s = ad.sections(spark, sf)
+    kind = F.when(F.col("seq") == 0, "heading").when(F.col("seq") % 9 == 8, "formula").otherwise("text")
+    return ingest.folded_trees(s.select(F.col("doc").alias("paper_id"), (F.col("page") * 1000 + F.col("seq")).alias("seq"), kind.alias("type"), F.when(F.col("seq") == 0, 1 + F.col("page") % 3).cast("int").alias("depth"), "text", F.lit("{}").alias("payload")))

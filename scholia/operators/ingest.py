@@ -167,3 +167,61 @@ def reference_stats(links: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.groupBy("exhibit_id").agg(F.count("*").alias("ref_count"), F.min_by("chunk_id", F.struct("chapter_idx", "section_idx", "chunk_idx", "chunk_id")).alias("first_ref_chunk_id"))
 
 
+
+
+def fold_tree(paper: str, nodes: list[dict]) -> list[list]:
+    """FOLD rows of a reflow document's nodes (type, depth, text, and of some section, items, language, marker) in page order.
+
+    Chapters are headings of depth 1 and sections of depth 2; deeper ones are bold text, before which a
+    buffer over half the target is emitted.  A formula leaves the buffer only at the limit, a footnote
+    never; everything after a references heading is left out.
+    """
+    state = Fold(paper)
+    held = lambda: sum(tokens(t) for t, _ in state.buffer)
+    for n in nodes:
+        kind, text = n["type"], (n.get("text") or "").strip()
+        if kind == "heading":
+            title, depth = " ".join(filter(None, [n.get("section"), text])), n.get("depth") or 0
+            if "references" in title.lower() or "bibliography" in title.lower():
+                break
+            if depth == 1:
+                state.boundary()
+                state.chapter, state.section, state.chunk, state.titles = state.chapter + 1, 0, 0, [title, ""]
+            elif depth == 2:
+                state.boundary()
+                state.section, state.chunk, state.titles[1] = state.section + 1, 0, title
+            elif depth >= 3:
+                if held() > TARGET_TOKENS // 2:
+                    state.emit()
+                state.buffer.append((f"**{title}**", None))
+        elif kind == "text" and text:
+            state.push(text, None)
+        elif kind == "footnote" and text:
+            state.buffer.append((f"[{n['marker']}] {text}" if n.get("marker") else text, None))
+        elif kind == "formula":
+            text = text or "[display formula]"
+            if state.buffer and held() + tokens(text) > MAX_TOKENS:
+                state.emit()
+            state.buffer.append((text, None))
+        elif kind == "list" and n.get("items"):
+            numbered = n.get("list_type") == "numbered"
+            state.push("\n".join(f"{k}. {x}" if numbered else f"- {x}" for k, x in enumerate(n["items"], 1)), None)
+        elif kind in ("code_block", "formatted_text") and text:
+            state.push(f"```{n.get('language') or ''}\n{text}\n```" if kind == "code_block" else text, None)
+        elif kind in ("figure", "figure_group", "table", "algorithm"):
+            state.exhibit({"figure_group": "figure"}.get(kind, kind), (n.get("caption") or text).strip(), None)
+    state.boundary()
+    return state.rows
+
+
+def folded_trees(nodes: DataFrame) -> DataFrame:
+    """FOLD rows of flattened reflow nodes (paper_id, seq, type, depth, text, payload as JSON), one document a group."""
+    import json
+
+    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.sort_values("seq").itertuples():
+            rows.append({**json.loads(r.payload or "{}"), "type": r.type, "depth": None if pd.isna(r.depth) else int(r.depth), "text": r.text})
+        return pd.DataFrame(fold_tree(key[0], rows), columns=[x.split()[0] for x in FOLD.split(", ")]).astype({"page_start": "Int32", "page_end": "Int32"})
+
+    return nodes.groupBy("paper_id").applyInPandas(fold, FOLD)

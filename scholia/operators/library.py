@@ -95,3 +95,33 @@ def item_collections(items: DataFrame, collections: DataFrame) -> DataFrame:
     """item_key, collection names in order of key."""
     rows = items.select("item_key", F.explode("collections").alias("collection_key")).join(collections, "collection_key")
     return rows.groupBy("item_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("collection_key", "name"))), lambda c: c["name"]), "; ").alias("names"))
+
+
+#: Most rows of a listing.
+MOST_ROWS = 100
+
+
+def listing(items: DataFrame, sort: str, descending: bool = False, limit: int = 25, start: int = 0) -> DataFrame:
+    """A page of items by a field, ties by key; 1 to 100 rows."""
+    if not 1 <= limit <= MOST_ROWS or start < 0:
+        raise ValueError("a listing has 1 to 100 rows")
+    order = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
+    return items.orderBy(order, "item_key").offset(start).limit(limit)
+
+
+def found_by_key_or_name(rows: DataFrame, asked: str, key: str, name: str) -> DataFrame:
+    """The row with the key, else the first, by key, whose name holds the text."""
+    rank = F.when(F.col(key) == asked, 0).when(F.contains(F.lower(name), F.lit(asked.lower())), 1)
+    return rows.withColumn("rank", rank).where("rank is not null").orderBy("rank", key).limit(1)
+
+
+def searched_tags(items: DataFrame, text: str, mode: str = "contains") -> DataFrame:
+    """tag, items: tags that hold or begin with the text."""
+    rows = items.select("item_key", F.explode("tags").alias("tag")).distinct()
+    hit = F.startswith(F.lower("tag"), F.lit(text.lower())) if mode == "startsWith" else F.contains(F.lower("tag"), F.lit(text.lower()))
+    return rows.where(hit).groupBy("tag").agg(F.count("*").alias("items"))
+
+
+def fulltext_versions(rows: DataFrame, version: int) -> DataFrame:
+    """item_key, version of full texts newer than a version: the latest of each."""
+    return rows.where(F.col("version") > version).groupBy("item_key").agg(F.max("version").alias("version"))

@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia import schemas
-from scholia.functions import code, tables, text
+from scholia.functions import code, formula, tables, text
+from scholia.operators import blocks as page_lines
 from scholia.operators import catalog, crosspage, filters, index, ingest, layout, library, reflow, selection, toc
 from scholia.plans import dsl
 from scholia.sources import blocks
 from scholia.sources.embeddings import EmbeddingCache
+from scholia.sources.selections import Selections
 from scholia.sources.store import Store
 from scholia.streaming import incremental
 
@@ -308,3 +310,50 @@ def test_embedding_cache(spark, tmp_path):
 def test_duplicate_regions():
     box = lambda i, kind, x: {"id": i, "kind": kind, "x1": x, "x2": x + 10, "y1": 0, "y2": 10}
     assert layout.kept_of_duplicates([box("a", "Text", 0), box("b", "Table", 2), box("c", "Text", 3), box("d", "Text", 40)]) == ["b", "d"]
+
+
+def test_tree_fold():
+    long = words(455)
+    rows = ingest.fold_tree("p", [
+        {"type": "heading", "depth": 1, "text": "Intro", "section": "1"}, {"type": "text", "text": long}, {"type": "footnote", "text": "note", "marker": "a"}, {"type": "formula", "text": ""}, {"type": "heading", "depth": 3, "text": "Deep"},
+        {"type": "list", "items": ["x", "y"], "list_type": "numbered"}, {"type": "code_block", "text": "f()", "language": "py"}, {"type": "figure", "caption": "Figure 1: c"}, {"type": "heading", "depth": 2, "text": "Sub", "section": "1.1"}, {"type": "text", "text": "tiny"},
+        {"type": "heading", "depth": 1, "text": "References"}, {"type": "text", "text": "gone"},
+    ])
+    chunks = [r for r in rows if r[1] == "chunk"]
+    assert [(r[2], r[3], r[4], r[5], r[6]) for r in chunks] == [(1, 0, 0, "1 Intro", ""), (1, 0, 1, "1 Intro", ""), (1, 1, 0, "1 Intro", "1.1 Sub")]
+    assert chunks[0][7].endswith("[a] note\n\n[display formula]") and chunks[1][7] == "**Deep**\n\n1. x\n2. y\n\n```py\nf()\n```"
+    assert [(r[1], r[7]) for r in rows if r[1] != "chunk"] == [("figure", "Figure 1: c")]
+
+
+def test_selections_on_disk(spark, tmp_path):
+    held = Selections(spark, f"file://{tmp_path}/s")
+    assert held.names() == [] and held.active() is None
+    held.create("first", spark.createDataFrame([(1, "K1")], "entry long, item_key string"))
+    held.create("Zweite_2")
+    held.activate("1")
+    assert held.names() == ["Zweite_2", "first"] and held.active() == "Zweite_2" and held.resolve("FIRST") == "first"
+    assert [r.item_key for r in held.read("first").collect()] == ["K1"]
+    held.rename("zweite_2", "third")
+    assert held.active() == "third"
+    held.delete("third")
+    assert held.names() == ["first"] and held.active() is None
+    with pytest.raises(FileExistsError):
+        held.create("first")
+    with pytest.raises(KeyError):
+        held.read("none")
+    with pytest.raises(ValueError):
+        held.create("../x")
+
+
+def test_formulas():
+    assert formula.looks_like_formula("x = y + ∑ z_i") and not formula.looks_like_formula("A line of plain prose = so") and not formula.looks_like_formula("x=")
+    assert formula.split_tag("a = b + c (3.1)") == ("a = b + c", "3.1") and formula.split_tag("see page (3)") == ("see page (3)", None)
+    assert formula.table_of_tokens(["ched", "lcel", "nl", "fcel", "ecel", "nl", "ucel", "fcel", "nl"], ["H", "a", "b"]) == '<table><tr><th colspan="2">H</th></tr><tr><td rowspan="2">a</td><td></td></tr><tr><td>b</td></tr></table>'
+
+
+def test_lines_to_blocks():
+    line = lambda y, t, x=0, size=10: {"x1": x, "x2": x + 100, "y1": y, "y2": y + 10, "size": size, "text": t}
+    got = page_lines.line_blocks([line(0, "Heading here", size=16), line(14, "first line"), line(26, "second line"), line(38, "x = y + ∑ z_i"), line(50, "more prose text"), line(90, "far below here")])
+    assert [[x["text"] for x in b] for b in got] == [["Heading here"], ["first line", "second line"], ["x = y + ∑ z_i"], ["more prose text"], ["far below here"]]
+    wide = {**line(0, "title"), "x2": 300}
+    assert [[x["text"] for x in c] for c in page_lines.columns([wide, line(20, "l"), line(20, "r", 200)], 320, 150)] == [["title"], ["l"], ["r"]]
