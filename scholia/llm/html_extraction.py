@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from .boosting import BoostedTrees
 from .shared import pick
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quoted value may hold ``>``; a quote that does not close within 4096 characters is a stray one.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]{0,4096}+"|'[^']{0,4096}+'|[^>])*+)>|<[!?][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 #: HTML's element classes.
@@ -42,6 +43,10 @@ _GROUP = {token: k for k, line in enumerate(GROUPS) for token in line.split()}
 _TAG_GROUP = {tag: k for k, tags in enumerate(TAGS) for tag in tags}
 
 
+#: Open elements beyond which another is taken as part of the innermost, as browsers do; its text stays.
+DEEPEST = 512
+
+
 class Node:
     __slots__ = ("attributes", "end", "hidden", "kids", "linked", "marks", "parent", "pieces", "start", "tag", "text_at", "words")
 
@@ -59,6 +64,7 @@ def parse(source: str) -> list[Node]:
     nodes = [Node("body", -1, set(), False, 0)]
     stack: list[tuple[str, int]] = [("body", 0)]
     links, at, end, place = 0, 0, len(source), 0
+    last = source.rfind(">") + 1  # beyond it stands no whole tag
 
     def add(raw: str) -> None:
         nonlocal place
@@ -88,7 +94,7 @@ def parse(source: str) -> list[Node]:
             links -= tag == "a"
 
     while at < end:
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, at, last)
         if not m:
             rest = source[at:]
             # An opening tag cut off at the page's end is markup, a bare "<" is text.
@@ -99,6 +105,8 @@ def parse(source: str) -> list[Node]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         if m[1]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
@@ -139,6 +147,8 @@ def parse(source: str) -> list[Node]:
                     names.update(_GROUP[t] for t in _TOKEN.findall(value) if t in _GROUP)
         if tag not in INLINE:
             cut()
+        if len(stack) >= DEEPEST:
+            continue
         if tag not in INLINE or names or hidden:
             nodes.append(Node(tag, stack[-1][1], names, hidden, place))
             nodes[stack[-1][1]].kids += 1

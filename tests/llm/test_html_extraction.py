@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -41,6 +42,18 @@ def test_broken_markup_parses(trees, source):
     assert isinstance(html_extraction.texts_of([source], trees)[0], str)
 
 
+@pytest.mark.parametrize("source", ["<div>" * 20_000 + "x", "<p><b>t" * 20_000, "<a x=\"1' " * 20_000 + ">", "<" * 50_000 + ">", "<!-- a " * 20_000 + ">", "<a href='" * 3000 + "<" * 50_000])
+def test_hostile_markup_takes_linear_time(source):
+    began = time.process_time()
+    html_extraction.parse(source)
+    assert time.process_time() - began < 5
+
+
+def test_places_of_text():
+    said = lambda s: " ".join("".join(t for x in html_extraction.parse(s) for _, t in x.pieces).split())
+    assert said("<p>x<!-- never <p>y") == "x" and said("<a title='a>b'>k</a> <p") == "k" and said("a<br>b<!-- > -->c") == "a bc"
+
+
 def test_table_of_pages(spark, trees):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_extraction.extracted(pages, trees).collect()}
