@@ -245,3 +245,46 @@ def back_matter_titles(headings: DataFrame, titles: list[str]) -> DataFrame:
     """doc, title, times, sole: how often each back-matter title comes; a sole one stands at the first depth."""
     rows = headings.withColumn("title", F.lower(F.trim("text"))).where(F.col("title").isin(titles))
     return rows.groupBy("doc", "title").agg(F.count("*").alias("times")).withColumn("sole", F.col("times") == 1)
+
+
+def in_number_order(nodes: list[dict]) -> list[dict]:
+    """Numbered headings, each with what follows it, sorted among their siblings, where a page's layout turned them round.
+
+    Only neighbours of one parent and depth change places; what stands before the first numbered heading stays.
+    """
+    parts: list[list[dict]] = [[]]
+    for n in nodes:
+        if n["kind"] == "heading" and n.get("number") and re.fullmatch(r"\d+(?:\.\d+)*", n["number"]):
+            parts.append([n])
+        else:
+            parts[-1].append(n)
+    head, rest = parts[0], parts[1:]
+    key = lambda p: [int(x) for x in p[0]["number"].split(".")]
+    swapped = True
+    while swapped:
+        swapped = False
+        for k in range(len(rest) - 1):
+            a, b = key(rest[k]), key(rest[k + 1])
+            if a[:-1] == b[:-1] and a > b or len(a) > len(b) and a[: len(b)] == b:
+                rest[k], rest[k + 1] = rest[k + 1], rest[k]
+                swapped = True
+    return head + [n for p in rest for n in p]
+
+
+def assembled(lines: list[str]) -> str:
+    """A paragraph of a block's lines: words cut by hyphens are joined, but for compounds before a capital or digit."""
+    out = ""
+    for line in (x.strip() for x in lines if x.strip()):
+        if re.search(r"[^\W\d_]-$", out) and line[:1].islower():
+            out = out[:-1] + line
+        elif re.search(r"[^\W\d_]-$", out):
+            out += line
+        else:
+            out = f"{out} {line}" if out else line
+    return out
+
+
+def without_stamps(text: str, stamps: set[str]) -> str:
+    """A text without the lines that are margin stamps (letters only, lower case)."""
+    key = lambda s: " ".join(re.sub(r"[^\w\s]|[\d_]", "", s.lower()).split())
+    return "\n".join(x for x in text.split("\n") if key(x) not in stamps)

@@ -110,3 +110,10 @@ def section_ranges(toc: DataFrame, last_page: int) -> DataFrame:
     rows = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("b.seq") > F.col("a.seq")) & (F.col("b.depth") <= F.col("a.depth")), "left")
     ends = rows.groupBy(F.col("a.doc").alias("doc"), F.col("a.seq").alias("seq"), F.col("a.page_value").alias("page_from")).agg(F.min_by("b.page_value", "b.seq").alias("next"))
     return ends.select("doc", "seq", "page_from", F.coalesce(F.greatest(F.col("next") - 1, F.col("page_from")), F.lit(last_page)).alias("page_to"))
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """doc, markdown: a contents listing, indented by depth, pages behind the titles."""
+    line = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("depth") - 1, F.lit(0))), F.lit("- "), F.col("title"), F.coalesce(F.concat(F.lit(" ("), F.col("page_label"), F.lit(")")), F.lit("")))
+    listed = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("markdown"))

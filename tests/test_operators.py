@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scholia import schemas
 from scholia.functions import code, formula, tables, text
 from scholia.operators import blocks as page_lines
-from scholia.operators import catalog, crosspage, filters, index, ingest, layout, library, reflow, selection, toc
+from scholia.operators import ann, catalog, crosspage, filters, ingest, layout, library, reflow, selection, toc, vector
 from scholia.plans import dsl
 from scholia.sources import blocks
 from scholia.sources.embeddings import EmbeddingCache
@@ -357,3 +357,32 @@ def test_lines_to_blocks():
     assert [[x["text"] for x in b] for b in got] == [["Heading here"], ["first line", "second line"], ["x = y + ∑ z_i"], ["more prose text"], ["far below here"]]
     wide = {**line(0, "title"), "x2": 300}
     assert [[x["text"] for x in c] for c in page_lines.columns([wide, line(20, "l"), line(20, "r", 200)], 320, 150)] == [["title"], ["l"], ["r"]]
+
+
+def test_numbers_in_order_and_assembly():
+    head = lambda n, t: {"kind": "heading", "depth": n.count(".") + 1, "number": n, "text": t}
+    text = lambda t: {"kind": "text", "depth": None, "text": t}
+    got = reflow.in_number_order([text("start"), head("1", "A"), head("1.2", "C"), text("c"), head("1.1", "B"), text("b"), head("2.1", "E"), head("2", "D")])
+    assert [n["text"] for n in got] == ["start", "A", "B", "b", "C", "c", "D", "E"]
+    assert reflow.assembled(["A hyphen-", "ated word, state-", "Of ", "", " the art"]) == "A hyphenated word, state-Of the art"
+    assert reflow.without_stamps("Body\nJournal of X 12\nmore", {"journal of x"}) == "Body\nmore"
+
+
+def test_buckets_recall(spark):
+    import numpy as np
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    at = ann.centres(df, 8)
+    held = ann.bucketed(df, at).persist()
+    hits = total = 0
+    for r in df.where("chunk_id % 50 = 0").collect():
+        exact = {x.chunk_id for x in vector.nearest(df, list(r.vector), 5, "chunk_id").collect()}
+        got = {x.chunk_id for x in ann.probe(held, at, list(r.vector), 5, "chunk_id", probes=4).collect()}
+        hits, total = hits + len(exact & got), total + len(exact)
+    assert hits / total >= 0.9
+    assert ann.centres(df.limit(10), 8) is None and np.isfinite(at).all()
+
+
+def test_contents_listing(spark):
+    rows = spark.createDataFrame([("d", 0, 1, "One", "1"), ("d", 1, 2, "Two", None)], "doc string, seq int, depth int, title string, page_label string")
+    assert toc.rendered(rows).head()["markdown"] == "- One (1)\n  - Two"
