@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import in_slices
 from .shared import pick
 from .training import Ftrl, fitted, held_out, labelled_sample, logistic
 
@@ -91,10 +92,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
     def fit(texts, y):
         model, grams = Ftrl(BUCKETS + 1), Grams()
+        rows = [(at.astype(np.int32), x.astype(np.float32)) for a in range(0, len(texts), 200) for at, x in grams.rows(texts[a : a + 200])]
         for _ in range(PASSES):
-            for a in range(0, len(texts), 200):
-                for (at, x), target in zip(grams.rows(texts[a : a + 200]), y[a : a + 200]):
-                    model.learn(at, x, target)
+            for (at, x), target in zip(rows, y):
+                model.learn(at, x, target)
         w = model.weights()
         return [(str(k), float(w[k])) for k in np.flatnonzero(w)]
 
@@ -116,7 +117,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> Data
         grams = Grams()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            score = np.concatenate([grams.scores(texts[a : a + 500], held.value) for a in range(0, len(texts), 500)] or [np.zeros(0)])
+            score = np.concatenate([grams.scores(texts[a:b], held.value) for a, b in in_slices(texts, 1_500_000)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     found = pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
@@ -131,7 +132,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> Da
         grams = Grams()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            score = np.concatenate([grams.scores(texts[a : a + 500], held.value) for a in range(0, len(texts), 500)] or [np.zeros(0)])
+            score = np.concatenate([grams.scores(texts[a:b], held.value) for a, b in in_slices(texts, 1_500_000)] or [np.zeros(0)])
             yield batch.filter(pa.array(score >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

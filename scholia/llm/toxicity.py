@@ -32,20 +32,32 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def views(bag: set[str]) -> list[set[str]]:
+    """The units of all words of a text, without their marks: words, and openings of four, five and six letters."""
+    return [bag, *({w[:k] for w in bag if len(w) > k} for k in (4, 5, 6))]
+
+
 def mined(bags: list[set[str]], y: np.ndarray) -> list[str]:
     """Units that stand in toxic documents far more often than in others, best first: lexicon and opening voters from labels."""
-    toxic, rest = Counter(), Counter()
+    toxic = [Counter() for _ in range(4)]
     for bag, t in zip(bags, y):
         if t:
-            toxic.update({u for w in bag for u in units(w)})
-    toxic = Counter({u: n for u, n in toxic.items() if n >= 3})
+            for held, view in zip(toxic, views(bag)):
+                held.update(view)
+    often = [{u for u, n in held.items() if n >= 3} for held in toxic]
+    rest = [Counter() for _ in range(4)]
     for bag, t in zip(bags, y):
         if not t:
-            rest.update({u for w in bag for u in units(w) if u in toxic})
+            for held, view, good in zip(rest, views(bag), often):
+                held.update(view & good)
     n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
-    gain = {u: np.log((c + 0.5) / (n1 + 1)) - np.log((rest[u] + 0.5) / (n0 + 1)) for u, c in toxic.items()}
-    good = [u for u, g in gain.items() if g > 1.5]
-    return sorted(good, key=lambda u: (-gain[u] * np.sqrt(toxic[u]), u))[:MOST_UNITS]
+    found = []
+    for end, good, held, other in zip(("", "*", "*", "*"), often, toxic, rest):
+        for u in good:
+            gain = np.log((held[u] + 0.5) / (n1 + 1)) - np.log((other[u] + 0.5) / (n0 + 1))
+            if gain > 1.5:
+                found.append((-gain * np.sqrt(held[u]), u + end))
+    return [u for _, u in sorted(found)[:MOST_UNITS]]
 
 
 def posterior(votes: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -57,21 +69,22 @@ def posterior(votes: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
     independent; the log odds of each are divided by one plus its summed positive correlations, so a
     group of voters that say the same counts about once.
     """
-    q = 0.02 + 0.96 * y
-    for _ in range(rounds):
+    q, votes, share = 0.02 + 0.96 * y, votes.astype(np.float32), 1.0
+    for n in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 0.999)
         on1 = (votes.T @ q + 0.1) / (q.sum() + 0.2 / max(prior, 1e-3))
         on0 = (votes.T @ (1 - q) + 0.1) / ((1 - q).sum() + 0.2 / max(1 - prior, 1e-3))
         on1, on0 = np.clip(on1, 1e-5, 0.999), np.clip(on0, 1e-5, 0.999)
-        resid = votes - q[:, None] * on1 - (1 - q)[:, None] * on0
-        deviation = np.sqrt((resid**2).mean(0)) + 1e-9
-        rho = np.clip(resid.T @ resid / len(votes) / deviation / deviation[:, None], 0, 1)
-        share = 1 / np.maximum(1, rho.sum(0))
+        if n % 5 == 0:
+            resid = (votes - q[:, None] * on1 - (1 - q)[:, None] * on0).astype(np.float32)
+            deviation = np.sqrt((resid**2).mean(0)) + 1e-9
+            rho = np.clip(resid.T @ resid / len(votes) / deviation / deviation[:, None], 0, 1)
+            share = 1 / np.maximum(1, rho.sum(0))
         accuracy = np.clip((q @ y + (1 - q) @ (1 - y)) / len(y), 0.6, 0.98)
         odds = votes @ (share * np.log(on1 / on0)) + (1 - votes) @ (share * np.log((1 - on1) / (1 - on0)))
         odds += np.log(prior / (1 - prior)) + (2 * y - 1) * np.log(accuracy / (1 - accuracy))
         new = logistic(odds)
-        if np.abs(new - q).max() < 1e-4:
+        if n % 5 and np.abs(new - q).max() < 1e-4:
             break
         q = new
     return q
@@ -83,13 +96,14 @@ def fit(texts: list[str], y: np.ndarray) -> list[tuple[str, float]]:
     names = mined(bags, y)
     names += [w for w in LEXICON if " " not in w and w not in names]
     place = {u: k for k, u in enumerate([*names, *PATTERNS])}
+    known = [{u for u in place if u not in PATTERNS and not u.endswith("*")}, *({u[:-1] for u in place if u.endswith("*") and len(u) == k + 1} for k in (4, 5, 6))]
     rows = []
     for text, bag in zip(texts, bags):
-        found = {place[u] for w in bag for u in units(w) if u in place}
+        found = {place[u + end] for end, view, good in zip(("", "*", "*", "*"), views(bag), known) for u in view & good}
         rows.append(np.array(sorted(found | {place[p] for p, r in PATTERNS.items() if r.search(text)}), np.int64))
     voters = sorted({*range(min(MOST_VOTERS, len(names))), *(place[w] for w in LEXICON if w in place), *(place[p] for p in PATTERNS)})
     column = {k: c for c, k in enumerate(voters)}
-    votes = np.zeros((len(texts), len(voters)))
+    votes = np.zeros((len(texts), len(voters)), np.float32)
     for i, at in enumerate(rows):
         votes[i, [column[k] for k in at.tolist() if k in column]] = 1
     target = posterior(votes, y)
