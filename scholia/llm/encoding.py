@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 
 #: Words whose ids a worker holds; beyond it the cache starts anew, so memory stays bounded.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 #: Longer pieces are held for one batch only.
 LONG_WORD = 100
+#: Marks that end words, of which runs are held apart from them, and how many such runs are held.
+MARKS, MOST_TAILS = string.punctuation, 20_000
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -19,8 +22,8 @@ class Encoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer always cuts before a single space or line break between two visible
-    characters, and between a letter and a full stop or comma.  So a text is the sum of its pieces
-    between such spaces and breaks: the ids of a piece depend on nothing around it and are computed
+    characters, and between a letter or digit and a run of marks at a word's end.  So a text is the sum
+    of its pieces between such spaces and breaks: the ids of a piece depend on nothing around it and are computed
     once per worker.  A text with other runs of white space is cut at single spaces only, and pieces
     that hold such runs are encoded by themselves.  Strings of special tokens are ordinary text.
     """
@@ -38,7 +41,7 @@ class Encoder:
             self.opens[k], self.breaks[k] = token.startswith("Ġ"), token.startswith("Ċ")
         # The library's own cache of words gains nothing: each word is asked for once.
         self.tokenizer.model._resize_cache(0)
-        self.marks = dict(zip(".,", self._ids([".", ","])))
+        self.marks: dict[str, bytes] = {}
         self.cache: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -59,6 +62,7 @@ class Encoder:
 
     def _learn(self, words) -> None:
         after_space, after_line, own, ended = set(), [], [], []
+        marks: set[str] = set()
         for w in words:
             if not w or w[-1].isspace():
                 self.cache[w] = None
@@ -68,15 +72,22 @@ class Encoder:
                 self.cache[w] = None
             elif " " in w or "\n" in w:
                 own.append(w)
-            elif w[-1] in self.marks and len(w) > 1 and w[-2].isalpha():
-                ended.append(w)
-                if w[:-1] not in self.cache:
-                    after_space.add(w[:-1])
+            elif (body := w.rstrip(MARKS)) and len(body) < len(w) and body[-1].isalnum():
+                tail = w[len(body) :]
+                ended.append((w, body, tail))
+                if body not in self.cache:
+                    after_space.add(body)
+                if tail not in self.marks:
+                    marks.add(tail)
             else:
                 after_space.add(w)
         self._several(list(after_space), " ", self.opens)
         self._several(after_line, "\n", self.breaks)
-        self.cache.update((w, self.cache[w[:-1]] + self.marks[w[-1]]) for w in ended)
+        if len(self.marks) > MOST_TAILS:
+            self.marks = {}
+            marks = {tail for _, _, tail in ended}
+        self.marks.update(zip(marks, self._ids(list(marks)), strict=True))
+        self.cache.update((w, self.cache[body] + self.marks[tail]) for w, body, tail in ended)
         self.cache.update(zip(own, self._ids([" " + w for w in own]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
