@@ -109,6 +109,14 @@ def block_keys(fp, radius: int, blocks: int):
     return F.array(*keys)
 
 
+def blocks_for(n: int, radius: int, shard: int = 64) -> int:
+    """Blocks to cut fingerprints into, so that a shard of ``n`` spread ones holds about ``shard`` at most: more blocks give more, narrower keys.  Any number is exact."""
+    blocks = radius + 2
+    while n >> (64 * (blocks - radius) // blocks) > shard and blocks < radius + 6:
+        blocks += 1
+    return blocks
+
+
 def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int = TREE) -> DataFrame:
     """Links (a, b) among the distinct ``fp`` of ``fps`` that connect all pairs within ``radius``, written to the shared folder.
 
@@ -205,7 +213,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tree: int
     """
     fps = written(fingerprints(docs, width), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = components(links(nodes.select("fp"), radius, tree=tree))
+    parts = components(links(nodes.select("fp"), radius, blocks_for(nodes.count(), radius), tree))
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.where("component <> fp").select("fp", "component").join(lowest, "component").select("fp", "component_id").union(lowest.select(F.col("component").alias("fp"), "component_id"))

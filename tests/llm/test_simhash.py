@@ -75,6 +75,17 @@ def test_links_connect_what_all_pairs_connect(spark, tree):
     assert {n: c for n, c in plain_components(signed, exact).items() if n in parts} == parts
 
 
+def test_more_blocks_find_the_same(spark):
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**9, 10**11)] == [6, 6, 7, 8]
+    rnd = random.Random(9)
+    fps = [rnd.getrandbits(63) for _ in range(60)]
+    fps += [flipped(f, k % 6, rnd) % (1 << 63) for k, f in enumerate(fps)]
+    df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
+    want = plain_components(set(fps), [(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 4])
+    for blocks in (5, 7):
+        assert plain_components(set(fps), simhash.links(df, 4, blocks).collect()) == want
+
+
 def test_near_duplicates(spark, docs):
     rnd = random.Random(1)
     words = [f"w{k}" for k in range(400)]
