@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, deals, pick, written
@@ -39,15 +39,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, width: int = 4, *also: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every whole text, and the columns of strings named in ``also``."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, doc_id="long", text="string", **dict.fromkeys(also, "string")).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} string" for c in also)]))
 
 
 class BKTree:
@@ -203,6 +203,13 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int
     return written(found.where("key is null").select("a", "b").union(more), "links")
 
 
+def grouped(fps: DataFrame, first: Column, radius: int, tree: int) -> DataFrame:
+    """fp, first, component (a fingerprint that stands for all linked ones) for every distinct fingerprint; ``first`` is an aggregate of its rows."""
+    nodes = written(fps.groupBy("fp").agg(first.alias("first")), "nodes")
+    parts = components(links(nodes.select("fp"), radius, blocks_for(nodes.count(), radius), tree))
+    return nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tree: int = TREE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable over links) for every row of ``docs``.
 
@@ -212,17 +219,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tree: int
     node, so a group of copies, however large, is one row of a partial aggregate.
     """
     fps = written(fingerprints(docs, width), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = components(links(nodes.select("fp"), radius, blocks_for(nodes.count(), radius), tree))
-    named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = grouped(fps, F.min("doc_id"), radius, tree)
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.where("component <> fp").select("fp", "component").join(lowest, "component").select("fp", "component_id").union(lowest.select(F.col("component").alias("fp"), "component_id"))
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one of each component stays: the one with the smallest id (of repeated rows, one)."""
-    stay = near_duplicates(docs, radius, width).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi")
-    return kept.withColumn("row in its id", F.row_number().over(order)).where("`row in its id` = 1").drop("row in its id")
+def deduplicated(docs: DataFrame, radius: int = 4, width: int = 4, tree: int = TREE) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays: the one with the smallest id, nulls last, then the smallest hash of its text.
+
+    A row is known by its id and its text's hash, so rows that share an id or have none stay or go each
+    with its own component; of rows equal in both, any one stands for all.
+    """
+    mark = F.coalesce(F.md5("text"), F.lit(""))
+    fps = written(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), width, "mark"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark"))
+    stay = grouped(fps, first, radius, tree).groupBy("component").agg(F.min("first").alias("first"))
+    names = ["id of the row", "no id", "mark of the text"]
+    stay = written(stay.select(F.coalesce("first.id", F.lit(0)).alias(names[0]), F.col("first.no_id").alias(names[1]), F.col("first.mark").alias(names[2])), "stay")
+    number = F.col("doc_id").cast("long")
+    rows = docs.withColumns({names[0]: F.coalesce(number, F.lit(0)), names[1]: number.isNull(), names[2]: mark})
+    return rows.dropDuplicates(names).join(stay, names, "left_semi").drop(*names)

@@ -110,3 +110,16 @@ def test_near_duplicates(spark, docs):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, _, c in want})
     assert simhash.near_duplicates(docs([], extra=False)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows without an id, and rows that share one, are each judged by their own text."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(400)], k=60)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:4]] * 2 + [(7, t) for t in texts[4:7]] * 2 + [(8, texts[7]), (None, texts[7]), (None, texts[8]), (9, texts[8].upper()), (0, None), (None, None)]
+    df = spark.createDataFrame([(i, t, {"k": str(n)}) for n, (i, t) in enumerate(rows)], "doc_id long, text string, extra map<string,string>").repartition(3)
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    want = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(8, texts[7]), (9, texts[8].upper()), (0, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
