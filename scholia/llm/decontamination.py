@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import pick, written
@@ -64,10 +64,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     Returns doc_id, item_id, window_start and window_words (place and length in words), distance (of the
     fingerprints), similarity: the best window's, the first of equals.
 
-    1. Every shingle of every whole text is hashed and looked up among the items' shingles.  A window
-       without any has similarity 0.  Sliding a window, its similarity changes course only where an edge
-       meets the end of a run of shared shingles, so three windows a run go on: where the item would
-       stand, and those that begin or end with the run.
+    1. Every shingle of every whole text is hashed and looked up among the items' shingles.  What a window
+       shares with an item weighs at most as much as the window's shingles that were found there.  A window
+       goes on if this bound allows the least similarity, wherever it starts, so none that has it is missed.
+       Equal texts are one.
     2. Each window's SimHash is looked up in the multi-index: 64 bits are eight blocks of eight, and an
        item stands in each block under all values within ``radius // 8`` bits.  If all eight blocks differed
        by more, the distance would exceed the radius, so no fingerprint within it is missed.
@@ -83,28 +83,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, window_start int, window_words int, distance int, similarity double")
 
-    words = pick(docs, doc_id="long", text="string").select("doc_id", words_of(F.col("text")).alias("words"))
-    windows = None
+    texts = pick(docs, doc_id="long", text="string").select("doc_id", "text", F.md5("text").alias("mark"))
+    words = texts.select("mark", words_of(F.col("text")).alias("words"))
+    hits = None
     for n in widths:
         long = (F.size("item_words") >= n) if n == width else (F.size("item_words") == n)
-        known = items.where(long).select("item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - n)).alias("j"))
-        known = known.select(
-            shingle(F.col("item_words"), F.col("j"), n).alias("h"), F.when(F.col("j") > 0, shingle(F.col("item_words"), F.col("j") - 1, n)).alias("before"), F.when(F.col("j") < F.size("item_words") - n, shingle(F.col("item_words"), F.col("j") + 1, n)).alias("after"), "j", F.size("item_words").alias("long")
-        ).distinct()
-        known = written(known, "shingles")
+        known = items.where(long).select(F.xxhash64("item_words").alias("item"), F.size("item_words").alias("long"), weight(F.col("item_parts")).alias("whole"), "item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - n)).alias("j"))
+        held = F.length(F.concat_ws(" ", F.slice("item_words", F.col("j") + 1, n))).cast("long")
+        known = written(known.select("item", "long", F.lit(n).alias("n"), "whole", shingle(F.col("item_words"), F.col("j"), n).alias("h"), held.alias("w")).distinct(), "shingles")
         places = words.withColumn("k", F.explode_outer(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)))).where("k is not null")
-        hit = places.withColumn("h", shingle(F.col("words"), F.col("k"), n)).join(sized(known, known.count()), "h")
-        k, size = F.col("k"), F.size("words")
-        first = F.col("before").isNull() | (k == 0) | (shingle(F.col("words"), k - 1, n) != F.col("before"))
-        last = F.col("after").isNull() | (k + n >= size) | (shingle(F.col("words"), k + 1, n) != F.col("after"))
-        starts = F.array(F.when(first, k - F.col("j")), F.when(first, k), F.when(last, k + n - F.col("long")))
-        hit = hit.where(first | last).withColumn("start", F.explode(F.array_distinct(F.filter(starts, lambda x: x.isNotNull()))))
-        start = F.greatest(F.least(F.col("start"), size - F.col("long")), F.lit(0))
-        hit = hit.select("doc_id", start.cast("int").alias("start"), F.slice("words", start + 1, F.col("long")).alias("window"))
-        windows = hit if windows is None else windows.union(hit)
-
-    windows = windows.distinct().withColumn("parts", shingles(F.col("window"), width))
-    windows = written(windows.select("doc_id", "start", F.size("window").alias("n"), simhash(F.col("parts")).alias("fp"), numbered(F.col("parts")).alias("parts")), "windows")
+        hit = places.withColumn("h", shingle(F.col("words"), F.col("k"), n)).join(sized(known, known.count()), "h").select("mark", F.size("words").alias("size"), "item", "long", "n", "whole", "k", "w")
+        hits = hit if hits is None else hits.union(hit)
+
+    # A hit weighs in the windows that start from k - long + n to k: the running sum of both ends gives every window's bound.
+    group = ["mark", "size", "item", "long", "whole"]
+    ends = F.array(F.struct((F.col("k") - F.col("long") + F.col("n")).alias("start"), F.col("w")), F.struct((F.col("k") + 1).alias("start"), (-F.col("w")).alias("w")))
+    steps = hits.distinct().select(*group, F.explode(ends).alias("e")).groupBy(*group, F.col("e.start").alias("start")).agg(F.sum("e.w").alias("w"))
+    order = Window.partitionBy(*group).orderBy("start")
+    steps = steps.select(*group, "start", F.sum("w").over(order).alias("shared"), F.lead("start").over(order).alias("until"))
+    steps = steps.where(F.col("shared") >= least * (1 - 1e-9) * F.col("whole"))
+    low, high = F.greatest("start", F.lit(0)), F.least(F.col("until") - 1, F.greatest(F.col("size") - F.col("long"), F.lit(0)))
+    steps = steps.select("mark", "long", "whole", "shared", low.alias("low"), high.alias("high")).where("low <= high")
+    # The similarity is at most shared / (whole + window's weight - shared), so a window may weigh so much.
+    room = F.col("shared") * ((1 + least) / least * (1 + 1e-9)) - F.col("whole")
+    starts = steps.select("mark", "long", room.alias("room"), F.explode(F.sequence("low", "high")).alias("start")).groupBy("mark", "long", "start").agg(F.max("room").alias("room"))
+    starts = written(starts, "starts")
+    marks = starts.select("mark").distinct()
+    some = texts.join(sized(marks, marks.count()), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")).select("mark", words_of(F.col("text")).alias("words"))
+    windows = some.join(starts, "mark").select("mark", "start", "room", F.slice("words", F.col("start") + 1, F.col("long")).alias("window"))
+    windows = windows.withColumn("parts", shingles(F.col("window"), width)).where(weight(F.col("parts")) <= F.col("room"))
+    windows = written(windows.select("mark", "start", F.size("window").alias("n"), simhash(F.col("parts")).alias("fp"), numbered(F.col("parts")).alias("parts")), "windows")
     each = radius // (64 // BLOCK)
     blocks = range(64 // BLOCK)
     index = items.select("item_id", "item_fp", F.posexplode(F.array(*[block(F.col("item_fp"), k) for k in blocks])).alias("b", "own"))
@@ -115,10 +123,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     earlier = F.exists(F.array(*[F.struct(F.lit(k).alias("k"), F.bit_count(block(apart, k)).alias("d")) for k in blocks]), lambda x: (x["k"] < F.col("b")) & (x["d"] <= each))
     found = probes.join(sized(index, index.count()), ["b", "value"]).where(F.bit_count(apart) <= radius).where(~earlier)
     found = found.join(sized(items.select("item_id", "item_parts", "item_fp"), items.count()), ["item_id", "item_fp"]).where(F.arrays_overlap("parts", "item_parts"))
-    found = found.select("doc_id", "item_id", F.col("start").alias("window_start"), F.col("n").alias("window_words"), F.bit_count(apart).alias("distance"), similarity(F.col("parts"), F.col("item_parts")).alias("similarity"))
+    found = found.select("mark", "item_id", F.col("start").alias("window_start"), F.col("n").alias("window_words"), F.bit_count(apart).alias("distance"), similarity(F.col("parts"), F.col("item_parts")).alias("similarity"))
     found = found.where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("window_start")).alias("back"), "window_words", "distance"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.back")).alias("window_start"), "x.window_words", "x.distance", "x.similarity")
+    found = written(found.groupBy("mark", "item_id").agg(best.alias("x")), "found")
+    found = texts.select("doc_id", "mark").join(sized(found, found.count()), "mark").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    return found.select("doc_id", "item_id", (-F.col("x.back")).alias("window_start"), "x.window_words", "x.distance", "x.similarity")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:

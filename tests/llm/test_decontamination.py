@@ -72,3 +72,30 @@ def test_empty(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs([]), bench).count() == 0
     assert decontamination.contaminated(docs([], extra=False), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_inserted_and_deleted_words(spark):
+    """Passages with one or two edits: the best window may start anywhere, since a shingle weighs its characters."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(1, 14))) for _ in range(3000)]
+    some = lambda n: rnd.choices(vocabulary, k=n)
+    items, rows = [], []
+    for k in range(1500):
+        item = some(rnd.randint(25, 59))
+        items.append((k, " ".join(item)))
+        for _ in range(rnd.randint(1, 2)):
+            at, kind = rnd.randrange(len(item)), rnd.randrange(3)
+            if kind == 0:
+                item[at:at] = some(rnd.randint(1, 3))
+            elif kind == 1:
+                item[at : at + 2] = item[at : at + 2][::-1]
+            else:
+                del item[at : at + rnd.randint(1, 2)]
+        rows.append((k, " ".join(some(rnd.randint(0, 20)) + item + some(rnd.randint(0, 20)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for (k, text), (_, item) in zip(rows, items):
+        want |= plain([(k, text)], [(k, item)])
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert len(want) > 200
