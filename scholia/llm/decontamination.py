@@ -58,10 +58,10 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
-    """One row for each document and item of which a window as long as the item has at least ``least`` weighted shingle similarity.
+def passages(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """One row for each different text and item of which a window as long as the item has at least ``least`` weighted shingle similarity.
 
-    Returns doc_id, item_id, window_start and window_words (place and length in words), distance (of the
+    Returns mark (the text's MD5), item_id, window_start and window_words (place and length in words), distance (of the
     fingerprints), similarity: the best window's, the first of equals.
 
     1. Every shingle of every whole text is hashed and looked up among the items' shingles.  What a window
@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     items = written(items.withColumn("parts", shingles(F.col("item_words"), width)).select("item_id", "item_words", simhash(F.col("parts")).alias("item_fp"), numbered(F.col("parts")).alias("item_parts")), "items")
     widths = sorted(r[0] for r in items.select(F.least(F.size("item_words"), F.lit(width))).distinct().collect())
     if not widths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, window_start int, window_words int, distance int, similarity double")
+        return docs.sparkSession.createDataFrame([], "mark string, item_id long, window_start int, window_words int, distance int, similarity double")
 
     texts = pick(docs, doc_id="long", text="string").select("doc_id", "text", F.md5("text").alias("mark"))
     words = texts.select("mark", words_of(F.col("text")).alias("words"))
@@ -126,12 +126,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     found = found.select("mark", "item_id", F.col("start").alias("window_start"), F.col("n").alias("window_words"), F.bit_count(apart).alias("distance"), similarity(F.col("parts"), F.col("item_parts")).alias("similarity"))
     found = found.where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("window_start")).alias("back"), "window_words", "distance"))
-    found = written(found.groupBy("mark", "item_id").agg(best.alias("x")), "found")
-    found = texts.select("doc_id", "mark").join(sized(found, found.count()), "mark").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
-    return found.select("doc_id", "item_id", (-F.col("x.back")).alias("window_start"), "x.window_words", "x.distance", "x.similarity")
+    found = found.groupBy("mark", "item_id").agg(best.alias("x"))
+    return written(found.select("mark", "item_id", (-F.col("x.back")).alias("window_start"), "x.window_words", "x.distance", "x.similarity"), "found")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """One row for each document and item of ``passages``: doc_id, item_id and the best window's columns, of rows with one id the best."""
+    found = passages(docs, benchmark, least, radius, width)
+    texts = pick(docs, doc_id="long", text="string").select("doc_id", F.md5("text").alias("mark"))
+    best = F.max(F.struct("similarity", (-F.col("window_start")).alias("back"), "window_words", "distance"))
+    rows = texts.join(sized(found, found.count()), "mark").groupBy("doc_id", "item_id").agg(best.alias("x"))
+    return rows.select("doc_id", "item_id", (-F.col("x.back")).alias("window_start"), "x.window_words", "x.distance", "x.similarity")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs``, all columns, without the documents of ``contaminated``; rows with a null id stay."""
-    found = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["found_id"], "left_anti")
+    """``docs``, all columns, without the rows whose text has one of ``passages``; each row is judged by its own text, whatever its id."""
+    found = passages(docs, benchmark, least).select(F.col("mark").alias("found mark")).distinct()
+    return docs.join(sized(found, found.count()), F.md5(docs["text"].cast("string")) == F.col("found mark"), "left_anti")

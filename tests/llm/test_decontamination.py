@@ -99,3 +99,12 @@ def test_inserted_and_deleted_words(spark):
         want |= plain([(k, text)], [(k, item)])
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
     assert len(want) > 200
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    passage = "one two three four five six seven eight nine"
+    rows = [(None, passage, 1), (None, "clean text of a few words", 2), (5, "so it says " + passage, 3), (5, "another clean text of words", 4), (6, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert sorted(r.n for r in decontamination.decontaminated(df, bench).collect()) == [2, 4, 5]
+    assert {r.doc_id for r in decontamination.contaminated(df, bench).collect()} == {None, 5}
