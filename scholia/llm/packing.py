@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder, in_slices
-from .shared import deals, pick, written
+from .encoding import encoder, slices, with_end
+from .shared import parts_for, pick, written
 
 #: Dimensions and bits of each in the curve's key; buckets of the hashed document vector.
 DIMENSIONS, BITS, BUCKETS = 4, 8, 1024
@@ -77,13 +77,16 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, curve (Hilbert key), ids (little-endian unsigned 32-bit, with ``end_id``) of every whole text."""
 
     def encode(batches):
-        end, encode = np.array([end_id], "<u4").tobytes(), encoder(vocabulary).encode
+        encode = encoder(vocabulary).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                ids = encode(texts[a:b])
-                curve = hilbert_key(cells(vectors([np.frombuffer(x, "<u4") for x in ids])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(curve), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "curve", "ids"])
+            for a, b in slices(batch.column(1)):
+                ids, n = encode(batch.column(1).slice(a, b - a))
+                ends = np.cumsum(n)
+                curve = hilbert_key(cells(vectors([ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())])))
+                ids, n = with_end(ids, n, end_id)
+                offsets = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(curve), blobs], names=["doc_id", "curve", "ids"])
 
     return pick(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, curve long, ids binary")
 
@@ -114,7 +117,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, room: int = 2048, partit
     """
     rows = written(encoded(docs, vocabulary, end_id), "encoded")
     order = [F.col("curve"), F.col("doc_id"), F.xxhash64("ids")]
-    rows = rows.withColumn("tie", order[2]).repartitionByRange(partitions or deals(docs.sparkSession), "curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "ids")
+    rows = rows.withColumn("tie", order[2]).repartitionByRange(partitions or parts_for(rows), "curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "ids")
 
     def lay(batches):
         from pyspark import TaskContext

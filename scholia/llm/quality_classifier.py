@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import in_slices
+from .encoding import slices
 from .shared import pick
 from .training import Ftrl, fitted, held_out, labelled_sample, logistic
 
@@ -40,7 +40,7 @@ class Grams:
         for pattern, to in _SHAPES:
             shape = pattern.sub(to, shape)
         self.words.append(zlib.crc32(text.lower().encode(errors="replace")))
-        self.shapes.append(zlib.crc32(shape[:12].encode(errors="replace")))
+        self.shapes.append(zlib.crc32(shape.encode(errors="replace")))
         self.known[word] = len(self.words) - 1
         return len(self.words) - 1
 
@@ -86,6 +86,10 @@ class Grams:
                 total[has] += SCALE * np.add.reduceat(weights[g].astype(np.float64), (np.cumsum(k) - k)[has]) / k[has]
         return logistic(total)
 
+    def of_column(self, texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+        """Scores of a column of texts, a slice of about a megabyte at a time."""
+        return np.concatenate([np.zeros(0), *(self.scores([t or "" for t in texts.slice(a, b - a).to_pylist()], weights) for a, b in slices(texts, 1_500_000))])
+
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> np.ndarray:
     """Weights (float32, BUCKETS + 1 of them whatever the input) learnt from a bounded sample of labelled rows."""
@@ -109,30 +113,33 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> Data
     """doc_id, held_out, score, predicted of every row's whole text.
 
     A null or blank text has the constant's score; null ids and repeated rows are scored like any
-    other; without labels every score is 0.5; an empty table gives an empty one; other columns are left out.
+    other, equal texts equally; a text of any length is read whole, its score a mean over its grams;
+    without labels every score is 0.5; a score equal to the threshold predicts 1; an empty table gives an
+    empty one; other columns are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         grams = Grams()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            score = np.concatenate([grams.scores(texts[a:b], held.value) for a, b in in_slices(texts, 1_500_000)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams.of_column(batch.column(1), held.value))], names=["doc_id", "score"])
 
     found = pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``.
+
+    Each row is judged by its own whole text, cast to a string; a null or blank text has the constant's
+    score; null ids, repeated rows and ties at the threshold stay; long texts are read in slices of rows;
+    an empty table gives an empty one; columns of any name and type pass through.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index("text")
 
     def run(batches):
         grams = Grams()
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            score = np.concatenate([grams.scores(texts[a:b], held.value) for a, b in in_slices(texts, 1_500_000)] or [np.zeros(0)])
-            yield batch.filter(pa.array(score >= threshold))
+            yield batch.filter(pa.array(grams.of_column(batch.column(at).cast(pa.string()), held.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,20 +14,31 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
+    """The folder in ``spark.checkpoint.dir``, or that set on the context.  Where neither is set, a local session, as in tests, gets a temporary one; a cluster is an error, since its machines would not see each other's."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
     return folder.rstrip("/")
 
 
+def _where(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the application ends if it is not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = _where(spark, path)
+    files.deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -39,56 +51,82 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of this module that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        files, where = _where(spark, path)
+        files.delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        removed(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def deals(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input that one task of a range partitioning is meant to take.
+TASK_BYTES = 32 << 20
+
+
+def parts_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Partitions for ``df``: by the size Spark estimates for it, so a task's share stays the same as the input grows; at least the session's own number."""
+    estimated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = deals(df.sparkSession)
+    return least if estimated >= 1 << 60 else max(least, -(-estimated // task_bytes))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast: ``pick(docs, doc_id='long', text='string')``.  Further columns, whatever their names, are left out."""
     return df.select(*[df[c].cast(kind).alias(c) for c, kind in columns.items()])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: A node with more neighbours than this, and than a ten-thousandth of all links, is joined by broadcast; so at most 10,000 are.
+HUB = 256
+
+
+def _with_least(pairs: DataFrame, n: int) -> DataFrame:
+    """u, v, m: each of ``n`` distinct pairs with the least v of its u.
+
+    The rows of a hub would meet in one task of a join by u.  Its least v is one row, and hubs are few by
+    their bound, so they are broadcast; the rest is joined by shuffle.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB, n // 10_000)
+    hubs = low.where(hub).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
+    marked = pairs.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    rest = marked.where("hub is null").select("u", "v").join(low.where(~hub).select("u", "m"), "u")
+    return marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest.select("u", "v", "m"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, component) per node, component its smallest node.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): each round is two grouped
-    minima, so a node with very many neighbours costs partial aggregates and no group is gathered.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes, which takes a
+    number of rounds that grows with the logarithm of the largest component.  A round is two grouped
+    minima with partial sums, and joins in which hubs are set apart, so no group is gathered in one task.
     Rounds are written to the shared folder; older ones are deleted.
     """
     spark = edges.sparkSession
     pair = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    path = fresh_path(spark, "edges")
-    pair.write.parquet(path)
-    kept, last = path, None
-    for _ in range(most_rounds):
+    kept, last = fresh_path(spark, "edges"), None
+    pair.write.parquet(kept)
+    n = spark.read.schema("u long, v long").parquet(kept).count()
+    while True:
         pair = spark.read.schema("u long, v long").parquet(kept)
         both = pair.select("u", "v").union(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
-            .where("e.x <> e.y")
-            .select(F.col("e.x").alias("u"), F.col("e.y").alias("v"))
-            .distinct()
-        )
+        least = F.least("u", "m")
+        large = _with_least(both, 2 * n).where((F.col("v") > F.col("u")) & (F.col("v") != least)).select(F.col("v").alias("u"), least.alias("v")).distinct()
+        ends = F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))
+        small = _with_least(large, n).select(F.explode(ends).alias("e")).where("e.x <> e.y").select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).distinct()
         path = fresh_path(spark, "edges")
         small.write.parquet(path)
-        done = spark.read.schema("u long, v long").parquet(path)
-        mark = done.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u").isNull())).head()
+        mark = spark.read.schema("u long, v long").parquet(path).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         removed(spark, kept)
-        kept = path
+        kept, n = path, mark[0]
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     star = spark.read.schema("u long, v long").parquet(kept)
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).union(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

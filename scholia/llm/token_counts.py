@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import encoder, in_slices
+from .encoding import encoder, slices
 from .shared import SPACE, pick
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -24,11 +24,10 @@ def counts(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(3).to_pylist()
             for name, path in vocabularies.items():
-                encode = encoder(path).encode
-                n = [len(x) // 4 for a, b in in_slices(texts) for x in encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([name] * len(n)), pa.array(n, pa.int64())], names=["doc_id", *KEYS, "n_tokens"])
+                counted = [encoder(path).encode(batch.column(3).slice(a, b - a))[1] for a, b in slices(batch.column(3))]
+                n = np.concatenate([np.zeros(0, np.int64), *counted])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([name] * len(n), pa.string()), pa.array(n)], names=["doc_id", *KEYS, "n_tokens"])
 
     return pick(docs, doc_id="long", source="string", lang="string", text="string").mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import encoder, in_slices
-from .shared import deals, pick
+from .encoding import encoder, slices, with_end
+from .shared import parts_for, pick
 
 #: ORC keeps integers of one document in run-length encoding version 2; the row index has min and max
 #: of each ``stride`` rows and a Bloom filter of their ids, so a lookup skips stripes and row groups.
@@ -24,26 +24,25 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, parti
     A null text counts as an empty one (its ids are ``end_id`` alone); a null id comes first; rows with
     the same id stand side by side, ordered by a hash of their text, and each is written; an empty table
     gives an empty table; further columns are not written.  Rows are dealt by range of id and text hash,
-    so many rows with one id do not meet in one task.
+    so many rows with one id do not meet in one task, and
+    their number follows the input's size.  A text of any length is one row, whose ids must fit a task's memory.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id="long", text="string").withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions or deals(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = rows.repartitionByRange(partitions or parts_for(rows), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def encode(batches):
         from pyspark import TaskContext
 
-        part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, start = TaskContext.get().partitionId(), 0
         encode = encoder(vocabulary).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                ids = [x + end for x in encode(texts[a:b])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for a, b in slices(batch.column(1)):
+                ids, n = with_end(*encode(batch.column(1).slice(a, b - a)), end_id)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+                flat = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(starts), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), flat)],
                     names=["doc_id", "part", "part_start", "n_tokens", "tokens"],

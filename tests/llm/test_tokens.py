@@ -3,13 +3,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scholia.llm import packing, token_output
-from scholia.llm.encoding import encoder
+from scholia.llm.encoding import encoder, slices
 from scholia.llm.shared import fresh_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,20 +20,47 @@ TEXTS = [(1, "Hello there, world's  end.\n\n New line"), (2, "a  b   c "), (3, "
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab ,.'s\n\t 　é1\x1c", max_size=30), max_size=6))
+def same(path, library, texts):
+    flat, counts = encoder(path).encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist())] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(flat) == (ends[-1] if len(ends) else 0)
+
+
+PIECES = st.sampled_from(["a", "b", " ", " ", "\n", "\t", ",", ".", "'s", "#", "é", "Ħ", "中", "1", "²", "\u00a0", "\u3000", "\x1c", "\x85", "\r", "<|endoftext|>", "<|", "|>", "_", "ß", "\u0301", "\U0001f600"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab ,.'s\n\t \u3000é1\x1c", max_size=30), st.lists(PIECES, max_size=25).map("".join)), max_size=6))
 def test_cached_words_give_the_librarys_ids(texts):
-    t = LIBRARY
-    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(PATH).encode(texts)]
-    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    same(PATH, LIBRARY, texts)
+
+
+def test_special_strings_long_words_and_a_full_cache(monkeypatch):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny z", "w" * 5000 + " end" + "!" * 300, None, "", "plain words, here.\nand there"]
+    same(PATH, LIBRARY, texts)
+    assert LIBRARY.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
+    monkeypatch.setattr("scholia.llm.encoding.CACHED_WORDS", 3)
+    for k in range(5):
+        same(PATH, LIBRARY, [*texts, f"other{k} words{k}, of round {k}"])
+
+
+def test_another_kind_of_tokenizer_is_left_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    same(path, Tokenizer.from_file(path), ["Hello there, <|endoftext|> World  end.\n", None, "", "naïve café"])
+
+
+def test_slices_cover_every_row():
+    for texts in ([], ["a"], ["x" * 10, None, "y" * 50, "", "z" * 3]):
+        for size in (1, 7, 1000):
+            cut = list(slices(pa.array(texts, pa.string()), size))
+            assert [k for a, b in cut for k in range(a, b)] == list(range(len(texts))) and all(a < b for a, b in cut)
 
 
 def test_token_files(spark, docs, plain):
