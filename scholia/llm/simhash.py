@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash: fingerprints within a Hamming radius, found with BK-trees over shards."""
+"""Near-duplicates by SimHash: fingerprints within a Hamming radius, found with BK-trees, one or more to a shard."""
 
 from __future__ import annotations
 
@@ -10,12 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, deals, pick, written
+from .shared import components, deals, dropped, pick, written
 
-#: Fingerprints in one BK-tree; a shard with more is dealt to several trees.
-TREE = 4096
-#: A subtree of at most so many fingerprints is one page, compared at once.
-PAGE = 48
+#: Fingerprints in one BK-tree; a shard with more is dealt to several trees.  Fingerprints that spread shards hold on average at most.
+TREE, SHARD = 4096, 1024
 SEED = 42
 
 
@@ -51,33 +49,38 @@ def fingerprints(docs: DataFrame, width: int = 4, *also: str) -> DataFrame:
 
 
 class BKTree:
-    """A BK-tree of fingerprints: below each pivot, children keyed by their integer Hamming distance to it.
+    """A BK-tree of fingerprints: each node is one of them, its children keyed by their integer Hamming distance to it.
 
-    ``search`` takes many queries at once and passes down an edge only those whose own distance to the
-    pivot differs from the edge's by no more than the radius.
+    A fingerprint goes down the edge of its distance until that edge is free.  ``search`` takes many
+    queries at once and passes down an edge only those whose own distance to the node differs from the
+    edge's by no more than the radius; ``followed`` and ``pruned`` count queries at edges.
     """
 
-    def __init__(self, fps: np.ndarray, index: np.ndarray | None = None):
-        self.fps, self.index, self.edges = fps, np.arange(len(fps)) if index is None else index, None
-        if len(fps) > PAGE:
-            far = np.bitwise_count(fps[1:] ^ fps[0])
-            self.edges = [(int(k), BKTree(fps[1:][far == k], self.index[1:][far == k])) for k in np.unique(far)]
-            self.fps, self.index = fps[:1], self.index[:1]
-
-    def search(self, queries: np.ndarray, radius: int, at: np.ndarray | None = None):
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.children = fps, [{} for _ in fps]
+        self.followed = self.pruned = 0
+        values, children = fps.tolist(), self.children
+        for k in range(1, len(values)):
+            value, at = values[k], 0
+            while (below := children[at].get(far := (value ^ values[at]).bit_count())) is not None:
+                at = below
+            children[at][far] = k
+
+    def search(self, queries: np.ndarray, radius: int):
         """Pairs (place of one fingerprint of the tree, places of the queries within the radius of it)."""
-        at = np.arange(len(queries)) if at is None else at
-        todo = [(self, at)]
+        todo = [(0, np.arange(len(queries)))] if len(self.fps) else []
         while todo:
             node, at = todo.pop()
-            far = np.bitwise_count(queries[at][None, :] ^ node.fps[:, None]).astype(np.int16)
-            for k, row in zip(node.index.tolist(), far <= radius):
-                if row.any():
-                    yield k, at[row]
-            for edge, child in node.edges or ():
-                near = np.abs(far[0] - edge) <= radius
-                if near.any():
-                    todo.append((child, at[near]))
+            far = np.bitwise_count(queries[at] ^ self.fps[node])
+            hits = at[far <= radius]
+            if len(hits):
+                yield node, hits
+            for edge, child in self.children[node].items():
+                near = at[(far >= max(0, edge - radius)) & (far <= edge + radius)]
+                self.followed += len(near)
+                self.pruned += len(at) - len(near)
+                if len(near):
+                    todo.append((child, near))
 
 
 def joined_up(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -89,6 +92,8 @@ def joined_up(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> list
     shift = 0 if queries is None else len(tree)
     label = np.arange(len(every))
     for k, hits in BKTree(tree).search(tree if queries is None else queries, radius):
+        if len(hits) == 1 and hits[0] + shift == k:
+            continue
         roots = np.unique(label[np.append(hits + shift, k)])
         if len(roots) > 1:
             label[np.isin(label, roots)] = roots[0]
@@ -109,9 +114,9 @@ def block_keys(fp, radius: int, blocks: int):
     return F.array(*keys)
 
 
-def blocks_for(n: int, radius: int, shard: int = 64) -> int:
+def blocks_for(n: int, radius: int, shard: int = SHARD) -> int:
     """Blocks to cut fingerprints into, so that a shard of ``n`` spread ones holds about ``shard`` at most: more blocks give more, narrower keys.  Any number is exact."""
-    blocks = radius + 2
+    blocks = radius + 1
     while n >> (64 * (blocks - radius) // blocks) > shard and blocks < radius + 6:
         blocks += 1
     return blocks
@@ -125,7 +130,7 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int
     the shard queries.  A tree emits one link for each fingerprint at most, never all pairs.
     """
     spark = fps.sparkSession
-    rows = fps.select(F.explode(block_keys(F.col("fp"), radius, blocks or radius + 2)).alias("key"), "fp")
+    rows = fps.select(F.explode(block_keys(F.col("fp"), radius, blocks or radius + 1)).alias("key"), "fp")
 
     def small(batches):
         held_keys, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -140,6 +145,7 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int
             ends = np.append(starts[1:], len(held_keys))
             whole = slice(0, len(starts) if batch is None else len(starts) - 1)
             sizes = (ends - starts)[whole]
+            # Trees of a root and one child, all at once: the root, as a query, follows the edge if its key is within the radius.
             two = starts[whole][sizes == 2]
             near = two[np.bitwise_count(held_fps[two] ^ held_fps[two + 1]) <= radius]
             pairs = [np.stack([held_fps[near], held_fps[near + 1]])]
@@ -200,13 +206,17 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     more = rows.repartition(deals(spark), "key", "to").sortWithinPartitions("key", "to", "asks").mapInArrow(shared, "a long, b long")
-    return written(found.where("key is null").select("a", "b").union(more), "links")
+    every = written(found.where("key is null").select("a", "b").union(more), "links")
+    dropped(found)
+    return every
 
 
 def grouped(fps: DataFrame, first: Column, radius: int, tree: int) -> DataFrame:
     """fp, first, component (a fingerprint that stands for all linked ones) for every distinct fingerprint; ``first`` is an aggregate of its rows."""
     nodes = written(fps.groupBy("fp").agg(first.alias("first")), "nodes")
-    parts = components(links(nodes.select("fp"), radius, blocks_for(nodes.count(), radius), tree))
+    found = links(nodes.select("fp"), radius, blocks_for(nodes.count(), radius), tree)
+    parts = components(found)
+    dropped(found)
     return nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
@@ -234,9 +244,11 @@ def deduplicated(docs: DataFrame, radius: int = 4, width: int = 4, tree: int = T
     mark = F.coalesce(F.md5("text"), F.lit(""))
     fps = written(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), width, "mark"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark"))
-    stay = grouped(fps, first, radius, tree).groupBy("component").agg(F.min("first").alias("first"))
+    named = grouped(fps, first, radius, tree)
+    stay = named.groupBy("component").agg(F.min("first").alias("first"))
     names = ["id of the row", "no id", "mark of the text"]
     stay = written(stay.select(F.coalesce("first.id", F.lit(0)).alias(names[0]), F.col("first.no_id").alias(names[1]), F.col("first.mark").alias(names[2])), "stay")
+    dropped(fps, named)
     number = F.col("doc_id").cast("long")
     rows = docs.withColumns({names[0]: F.coalesce(number, F.lit(0)), names[1]: number.isNull(), names[2]: mark})
     return rows.dropDuplicates(names).join(stay, names, "left_semi").drop(*names)

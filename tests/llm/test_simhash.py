@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm import simhash
 from scholia.llm.shared import components
@@ -76,16 +77,47 @@ def test_links_connect_what_all_pairs_connect(spark, tree):
 
 
 def test_more_blocks_find_the_same(spark):
-    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**9, 10**11)] == [6, 6, 7, 8]
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**9, 10**11)] == [5, 5, 6, 7]
     rnd = random.Random(9)
     fps = [rnd.getrandbits(63) for _ in range(60)]
     fps += [flipped(f, k % 6, rnd) % (1 << 63) for k, f in enumerate(fps)]
     df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
     want = plain_components(set(fps), [(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 4])
-    for blocks in (5, 7):
+    for blocks in (6, 7):
         assert plain_components(set(fps), simhash.links(df, 4, blocks).collect()) == want
 
 
+def test_links_come_through_edges(spark):
+    """On a whole table the shards' trees have edges keyed by distance; searches follow some and leave others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    keys = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").select("fp", F.explode(simhash.block_keys(F.col("fp"), 4, 5)).alias("key")).collect()
+    shards, followed, pruned, direct = defaultdict(list), 0, 0, set()
+    for r in keys:
+        shards[r.key].append(r.fp)
+    for shard in shards.values():
+        own = np.array(shard, np.int64).view(np.uint64)
+        tree = simhash.BKTree(own)
+        assert all(d == (int(own[k]) ^ int(own[c])).bit_count() for k, kids in enumerate(tree.children) for d, c in kids.items())
+        for k, hits in tree.search(own, 4):
+            direct |= {(min(a, b), max(a, b)) for a in [int(own[k])] for b in own[hits].tolist() if a != b}
+        followed, pruned = followed + tree.followed, pruned + tree.pruned
+    assert followed > 100 and pruned > 100
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    assert direct == {(min(a, b), max(a, b)) for a, b in ((int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(far <= 4)) if i != j)}
+
+
+def test_hubs_and_chains(spark):
+    """A node with far more neighbours than HUB, a long chain and small groups, against a plain union."""
+    rnd = random.Random(3)
+    pairs = [(5, k) for k in range(1000, 2500)] + [(2600, k) for k in range(2000, 2550)] + [(k, k + 1) for k in range(5000, 5060)] + [(9, 9), (7000, 6000), (6000, 7000)] + [(rnd.randrange(8000, 8200), rnd.randrange(8000, 8200)) for _ in range(90)]
+    rnd.shuffle(pairs)
+    got = [tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    nodes = {n for p in pairs for n in p if p[0] != p[1]}
+    assert len(got) == len(nodes) and dict(got) == plain_components(nodes, [p for p in pairs if p[0] != p[1]])
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates(spark, docs):
     rnd = random.Random(1)
     words = [f"w{k}" for k in range(400)]
