@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame
 from .boosting import BoostedTrees
 from .shared import pick
 
-#: A quoted value may hold ``>``; a quote that does not close within 4096 characters is a stray one.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]{0,4096}+"|'[^']{0,4096}+'|[^>])*+)>|<[!?][^>]*+>""", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A comment, a tag, or what browsers take as a comment.  A value after ``=`` may be quoted, at any length, and then hold ``>``; a quote that never closes is a stray one.
+_MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|<[!?/][^>]*+>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+#: Attributes whose words are features.
+NAMED = {"class", "id", "role", "aria-label"}
 _TOKEN = re.compile(r"[a-z]+")
-#: HTML's element classes.
+#: HTML's element classes: those without an end, those whose content is no markup, those whose content a page does not show as text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript iframe noembed noframes xmp textarea title svg math object select button datalist canvas audio video".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = set("script style title textarea iframe noembed noframes".split())
+UNSEEN = set("template noscript select datalist button canvas audio video desc metadata annotation annotation-xml".split())
+#: Controls, which end where a block begins if they have not before.
+CONTROLS = set("select datalist button".split())
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var object math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics svg g text tspan".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -43,8 +48,14 @@ _GROUP = {token: k for k, line in enumerate(GROUPS) for token in line.split()}
 _TAG_GROUP = {tag: k for k, tags in enumerate(TAGS) for tag in tags}
 
 
-#: Open elements beyond which another is taken as part of the innermost, as browsers do; its text stays.
-DEEPEST = 512
+#: Elements of drawings and formulas, which may close themselves.
+FOREIGN = set("svg math g text tspan path rect circle ellipse line polyline polygon use image stop desc metadata mi mn mo ms mtext mspace mrow annotation".split())
+
+
+@lru_cache(32)
+def _closing(tag: str) -> re.Pattern:
+    """The end tag of an element whose content is no markup; it may carry attributes."""
+    return re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*+)?>", re.I)
 
 
 class Node:
@@ -63,6 +74,7 @@ def parse(source: str) -> list[Node]:
     """
     nodes = [Node("body", -1, set(), False, 0)]
     stack: list[tuple[str, int]] = [("body", 0)]
+    opened: dict[str, list[int]] = {}  # depths at which each tag is open
     links, at, end, place = 0, 0, len(source), 0
     last = source.rfind(">") + 1  # beyond it stands no whole tag
 
@@ -91,32 +103,43 @@ def parse(source: str) -> list[Node]:
             if tag not in INLINE:
                 cut()
             stack.pop()
+            opened[tag].pop()
             links -= tag == "a"
 
+    def innermost(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    from_here = 0
     while at < end:
-        m = _TAG.search(source, at, last)
-        if not m:
-            rest = source[at:]
-            # An opening tag cut off at the page's end is markup, a bare "<" is text.
-            half = re.search(r"<[/!?a-zA-Z][^<>]*\Z", rest)
-            add(rest[: half.start()] if half else rest)
+        start = source.find("<", at)
+        if start < 0:
+            add(source[from_here:])
             break
-        add(source[at : m.start()])
-        at = m.end()
+        m = _MARKUP.match(source, start, last) if start < last else None
+        if not m:
+            at = start + 1
+            if source[at : at + 1].isalpha() and source[at : at + 1].isascii() or source[at : at + 1] in ("/", "!", "?"):
+                add(source[from_here:start])  # markup cut off at the page's end
+                break
+            if at >= end:
+                add(source[from_here:])
+            continue  # a bare "<" is text
+        add(source[from_here:start])
+        at = from_here = m.end()
         tag = (m[2] or "").lower()
         if not tag:
-            if m[0].startswith("<!--") and not m[0].endswith("-->"):
-                break
+            if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+                break  # a comment that never closes
             continue
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth:
+            if depth := innermost((tag,)):
                 pop(depth)
+            elif tag == "p":
+                cut()
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = close.end() if close else end
+            close = _closing(tag).search(source, at)
+            at = from_here = close.end() if close else end
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -125,30 +148,27 @@ def parse(source: str) -> list[Node]:
         if tag in ("html", "body", "head"):
             continue
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
+            if depth := innermost(CONTROLS):
+                pop(depth)
+            depth = innermost(("p",))
             if depth and all(s[0] in INLINE for s in stack[depth + 1 :]):
                 pop(depth)
-        if tag in SCOPE:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME[tag]:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE[tag]:
-                    break
-        names, hidden = set(), False
-        if m[3] and "=" in m[3] or "hidden" in m[3]:
-            for a in _ATTRIBUTE.finditer(m[3]):
-                value = (a[2] or a[3] or a[4] or "").lower()
-                if a[1].lower() == "hidden":
-                    hidden = True
-                elif a[1].lower() == "style":
-                    hidden |= "display:none" in value.replace(" ", "")
-                else:
-                    names.update(_GROUP[t] for t in _TOKEN.findall(value) if t in _GROUP)
+        if tag in SCOPE and (depth := innermost(SAME[tag])) > innermost(SCOPE[tag]):
+            pop(depth)
+        names, hidden = set(), tag in UNSEEN
+        for a in _ATTRIBUTE.finditer(m[3]):
+            name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+            if name == "hidden":
+                hidden = True
+            elif name == "style":
+                hidden |= bool(re.search(r"(?:^|;)\s*display\s*:\s*none\b", value))
+            elif name in NAMED:
+                names.update(_GROUP[t] for t in _TOKEN.findall(value) if t in _GROUP)
         if tag not in INLINE:
             cut()
-        if len(stack) >= DEEPEST:
+        if m[3].endswith("/") and tag in FOREIGN:
             continue
+        opened.setdefault(tag, []).append(len(stack))
         if tag not in INLINE or names or hidden:
             nodes.append(Node(tag, stack[-1][1], names, hidden, place))
             nodes[stack[-1][1]].kids += 1
@@ -328,7 +348,9 @@ class Maker:
                 inner += f' <a href="#">{self.text(1, 5, True)}</a> {self.text(1, 12, True)}'
             if r.random() < 0.15:
                 inner = f"<b>{inner}<br>"
-            return f"<p>{inner}" + ("</p>" if r.random() < 0.75 else "")
+            # Some paragraphs carry a name that other sites give to other parts; their length tells.
+            name = f' class="{r.choice(GROUPS[1:]).split()[0]}"' if len(inner) > 100 and r.random() < 0.06 else ""
+            return f"<p{name}>{inner}" + ("</p>" if r.random() < 0.75 else "")
         if t < 0.76:
             return f"<h2>{self.text(1, 8, True)}</h2>"
         if t < 0.84:
@@ -337,7 +359,8 @@ class Maker:
             return f"<blockquote>{self.text(5, 60, True)}</blockquote>"
         if t < 0.93:
             return f"<table>{''.join(f'<tr><td>{self.text(1, 5, True)}</td><td>{self.text(1, 5, True)}</td></tr>' for _ in range(r.randint(1, 4)))}</table>"
-        return f"<div>{self.text(5, 90, True)}</div>"
+        name = f' class="{"-".join(r.choice(g).split()[0] for g in r.sample([[x] for x in GROUPS], 2))}"' if r.random() < 0.2 else ""
+        return f"<div{name}>{self.text(12 if name else 5, 90, True)}</div>"
 
     def page(self) -> str:
         r = self.random
@@ -345,8 +368,9 @@ class Maker:
         for part in ("ad", "share", "side", "notice"):
             if r.random() < 0.2:
                 blocks.insert(r.randint(0, len(blocks)), self.boiler(part))
-        title = f"<h1>{self.text(1, 12, True)}</h1>"
-        blocks.insert(0, title if r.random() < 0.8 else f"<header>{title}</header>")
+        title = f"<h1>{self.text(1, 12, True)}</h1>" if r.random() < 0.8 else ""
+        if title:
+            blocks.insert(0, title if r.random() < 0.8 else f"<header>{title}</header>")
         if r.random() < 0.15:
             blocks.append(self.boiler("comments"))
         main = self.wrap(r.choice(PARTS["main"]), "".join(blocks))
@@ -357,6 +381,11 @@ class Maker:
         if r.random() < 0.25:
             # A bare page: menu, one advert, an article of a title and paragraphs, a footer line.
             body = self.boiler("nav") + self.boiler("ad") * r.randint(0, 1) + f"<article>{title}{''.join(f'<p>{self.text(1, r.choice([3, 12, 200]), True)}</p>' for _ in range(r.randint(1, 14)))}</article>" + self.wrap(r.choice(PARTS["footer"]), self.text(2, 12, False))
+        elif r.random() < 0.15:
+            # Hardly more than the article: a paragraph or two, alone or with a menu or a footer.
+            some = [self.boiler(p) if r.random() < 0.4 else "" for p in ("nav", "footer")]
+            inner = "".join(f"<p>{self.text(1, r.choice([14, 60]), True)}</p>" for _ in range(r.randint(1, 2)))
+            body = some[0] + self.wrap(r.choice(PARTS["main"]), inner) + some[1]
         if r.random() < 0.3:
             body = self.wrap(r.choice(["div.wrapper", "div#page", "div", "div.container>div.row"]), body)
         return f"<html><head><title>{self.text(1, 5, True)}</title></head><body>{body}" + ("</body></html>" if r.random() < 0.9 else "")
