@@ -15,6 +15,8 @@ from .shared import parts_for, pick, written
 
 #: Dimensions and bits of each in the curve's key; buckets of the hashed document vector.
 DIMENSIONS, BITS, BUCKETS = 4, 8, 1024
+#: Ids of one row on the way to its range; a longer document is several rows, so ranges of rows are even in bytes.
+CHUNK = 32_768
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -74,21 +76,27 @@ def hilbert_key(x: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, curve (Hilbert key), ids (little-endian unsigned 32-bit, with ``end_id``) of every whole text."""
+    """doc_id, curve (Hilbert key), tie (a sum over the ids), nth (tells equal rows of a task apart), start, doc_tokens, ids (little-endian unsigned 32-bit, with ``end_id``) of every whole text, CHUNK ids a row."""
 
     def encode(batches):
-        encode = encoder(vocabulary).encode
+        encode, before = encoder(vocabulary).encode, 0
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 ids, n = encode(batch.column(1).slice(a, b - a))
                 ends = np.cumsum(n)
                 curve = hilbert_key(cells(vectors([ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())])))
                 ids, n = with_end(ids, n, end_id)
-                offsets = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
-                blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(curve), blobs], names=["doc_id", "curve", "ids"])
+                ends, raw = np.cumsum(n), memoryview(ids).cast("B")
+                tie = np.array([zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())], np.int64)
+                rows = -(-n // CHUNK)
+                row = np.repeat(np.arange(b - a), rows)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(rows) - rows, rows)) * CHUNK
+                offsets = np.append(4 * ((ends - n)[row] + start), 4 * len(ids)).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(curve[row]), pa.array(tie[row]), pa.array(before + row), pa.array(start), pa.array(n[row]), blobs], names=["doc_id", "curve", "tie", "nth", "start", "doc_tokens", "ids"])
+                before += b - a
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, curve long, ids binary")
+    return pick(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, curve long, tie long, nth long, start long, doc_tokens long, ids binary")
 
 
 def cut(lengths: list[int], at: int, room: int):
@@ -113,11 +121,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, room: int = 2048, partit
     ``room``) is cut into sequences whose lengths are falling powers of two, so nothing is padded where
     ``room`` is a power of two.  ``sequence_id`` holds the range in its upper bits, so ids are unique
     and order follows the curve.  A null text counts as empty (its piece is ``end_id``); null ids are
-    kept; repeated rows are each packed; an empty table gives an empty table; other columns are left out.
+    kept; a very long text travels in rows of CHUNK ids; repeated rows are each packed; an empty table
+    gives an empty table; other columns are left out.
     """
-    rows = written(encoded(docs, vocabulary, end_id), "encoded")
-    order = [F.col("curve"), F.col("doc_id"), F.xxhash64("ids")]
-    rows = rows.withColumn("tie", order[2]).repartitionByRange(partitions or parts_for(rows), "curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "ids")
+    rows, order = written(encoded(docs, vocabulary, end_id), "encoded"), ["curve", "doc_id", "tie", "nth", "start"]
+    rows = rows.repartitionByRange(partitions or parts_for(rows), *order).sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids")
 
     def lay(batches):
         from pyspark import TaskContext
@@ -130,11 +138,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, room: int = 2048, partit
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            docs, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, starts, totals, blobs = (batch.column(k).to_pylist() for k in range(4))
             lengths, out = [len(x) // 4 for x in blobs], []
             for k, start, n, sequence, offset in cut(lengths, at, room):
                 ids = blobs[k][4 * start : 4 * (start + n)]
-                held.append((docs[k], start, n, zlib.crc32(ids), lengths[k], base + sequence, offset, ids))
+                held.append((docs[k], starts[k] + start, n, zlib.crc32(ids), totals[k], base + sequence, offset, ids))
                 if offset + n == room:
                     out += held
                     held = []

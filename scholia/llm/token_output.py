@@ -23,13 +23,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, parti
 
     A null text counts as an empty one (its ids are ``end_id`` alone); a null id comes first; rows with
     the same id stand side by side, ordered by a hash of their text, and each is written; an empty table
-    gives an empty table; further columns are not written.  Rows are dealt by range of id and text hash,
-    so many rows with one id do not meet in one task, and
+    gives an empty table; further columns are not written.  Rows are dealt by range of id, text hash
+    and place, so many rows with one id, or many equal rows, do not meet in one task, and
     their number follows the input's size.  A text of any length is one row, whose ids must fit a task's memory.
     """
     spark = docs.sparkSession
-    rows = pick(docs, doc_id="long", text="string").withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions or parts_for(rows), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = pick(docs, doc_id="long", text="string").withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(partitions or parts_for(rows), "doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth").select("doc_id", "text")
 
     def encode(batches):
         from pyspark import TaskContext

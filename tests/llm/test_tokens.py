@@ -83,7 +83,9 @@ def test_token_files_of_no_documents(spark, docs):
     assert token_output.token_positions(token_output.write_tokens(df, fresh_path(spark, "t"), PATH, 0)).count() == 0
 
 
-def test_packing(spark, docs, plain):
+@pytest.mark.parametrize("chunk", [100, packing.CHUNK])
+def test_packing(spark, docs, plain, monkeypatch, chunk):
+    monkeypatch.setattr(packing, "CHUNK", chunk)
     df = docs([(k, f"text number {k} " * (k % 40)) for k in range(100)])
     got = packing.pack(df, PATH, 1, room=256, partitions=3).collect()
     ids = defaultdict(list)
