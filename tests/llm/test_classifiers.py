@@ -1,10 +1,12 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from scholia.llm import quality_classifier, toxicity
+from scholia.llm import quality_classifier, queries, toxicity
 from scholia.llm.training import labelled_sample
 
 
@@ -83,11 +85,116 @@ def test_no_labels(spark, docs):
     assert quality_classifier.scored(docs([], extra=False), np.zeros(quality_classifier.BUCKETS + 1, np.float32)).count() == 0
 
 
-def test_posterior_repairs_a_wrong_label():
-    rng = np.random.default_rng(0)
-    truth = (rng.random(500) < 0.3).astype(float)
-    votes = ((rng.random((500, 12)) < np.where(truth[:, None] == 1, 0.6, 0.02))).astype(float)
-    y = truth.copy()
-    y[:10] = 1 - y[:10]
-    q = toxicity.posterior(votes, y)
-    assert ((q > 0.5) == truth).mean() > 0.98
+def hidden_votes(n=2000, seed=0):
+    """Rows of a hidden class, independent voters with rates of their own, and five near copies of a poor one."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.2
+    on1, on0 = rng.uniform(0.3, 0.7, 12), rng.uniform(0.01, 0.06, 12)
+    votes = rng.random((n, 12)) < np.where(truth[:, None], on1, on0)
+    poor = rng.random(n) < np.where(truth, 0.5, 0.35)
+    copies = poor[:, None] ^ (rng.random((n, 5)) < 0.02)
+    return truth, on1, on0, np.column_stack([votes, poor, copies]).astype(np.uint8)
+
+
+def test_label_model_sees_votes_alone():
+    """Accuracies and classes come from agreement: no label is given, and flipping the order of rows or voters changes nothing."""
+    truth, on1, on0, votes = hidden_votes()
+    model = toxicity.LabelModel(votes)
+    assert ((model.posterior > 0.5) == truth).mean() > 0.98
+    assert np.abs(model.rates[1, :12] - on1).max() < 0.1 and np.abs(model.rates[0, :12] - on0).max() < 0.03
+    back = toxicity.LabelModel(votes[::-1])
+    assert np.abs(back.posterior[::-1] - model.posterior).max() < 1e-3
+
+
+def test_label_model_finds_dependencies():
+    """Near copies hang on each other and count about once; independent voters hang on none."""
+    truth, _, _, votes = hidden_votes()
+    model = toxicity.LabelModel(votes)
+    assert sum(p >= 0 for p in model.parent[:12]) == 0 and sum(p >= 12 for p in model.parent[12:]) == 5
+    alone = toxicity.LabelModel(votes[:, :13]).posterior
+    assert ((alone > 0.5) == (model.posterior > 0.5)).mean() > 0.99
+
+
+def test_dependencies_carry_information():
+    """Every edge of the forest has the mutual information that it claims, by plain counts, and there is no cycle."""
+    _, _, _, votes = hidden_votes(300, 4)
+    parent = toxicity.dependencies(votes.astype(np.float32), np.full(300, 0.5), 10.0)
+    assert (parent >= 0).any()
+    for k, p in enumerate(parent):
+        if p >= 0:
+            a, b, info = votes[:, k] > 0, votes[:, p] > 0, 0.0
+            for x in (a, ~a):
+                for z in (b, ~b):
+                    joint = (x & z).mean()
+                    info += 300 * joint * np.log(joint / (x.mean() * z.mean())) if joint else 0
+            assert info > 10.0
+        seen = set()
+        while k >= 0:
+            assert k not in seen
+            seen.add(k)
+            k = int(parent[k])
+
+
+def test_gold_labels_reach_the_classifier_through_voters_only(monkeypatch):
+    """With the same voters, other labels give the same classifier."""
+    rows, labels = world()
+    y = {d: t for d, _, t in labels}
+    texts = [t for d, t in rows if d in y]
+    gold = np.array([y[d] for d, _ in rows if d in y], float)
+    names = toxicity.mined([toxicity.words(t) for t in texts], gold)
+    monkeypatch.setattr(toxicity, "mined", lambda bags, y: list(names))
+    assert {"zorkan"} < set(names) and toxicity.fit(texts, gold) == toxicity.fit(texts, 1 - gold)
+
+
+def test_distinct_columns():
+    votes = np.array([[1, 1, 0, 0, 1], [0, 0, 0, 1, 0], [1, 1, 0, 1, 1]])
+    assert toxicity.distinct_columns(votes).tolist() == [0, 3]
+
+
+def plain_toxicity(text, model):
+    """The score as its definition has it: weights of the words, openings and patterns that stand in the text."""
+    found = {u for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for u in (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k))}
+    total = model.get("", 0.0) + sum(v for u, v in model.items() if u in found and u not in toxicity.PATTERNS)
+    total += sum(model.get(p, 0.0) for p, r in toxicity.PATTERNS.items() if r.search(text or ""))
+    return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+
+def plain_quality(text, weights):
+    """The score as its definition has it, gram by gram in whole numbers."""
+    words = (text or "").encode(errors="replace").split()
+    low = [zlib.crc32(w.decode(errors="replace").lower().encode()) for w in words]
+    shape = [zlib.crc32(re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a", w.decode(errors="replace"))).encode()) for w in words]
+    mix = lambda a, b, salt: ((a * 0x9E3779B97F4A7C15 + b + salt) * 0xC2B2AE3D27D4EB4F % 2**64) >> 46
+    pairs = list(range(len(words) - 1))
+    kinds = [[mix(x, 0, 1) for x in low], [mix(x, 0, 2) for x in shape], [mix(low[k], low[k + 1], 3) for k in pairs], [mix(shape[k], shape[k + 1], 4) for k in pairs], [mix(int(low[k] == low[k + 1]), 0, 5) for k in pairs]]
+    total = float(weights[-1]) + sum(quality_classifier.SCALE * sum(float(weights[g]) for g in kind) / len(kind) for kind in kinds if kind)
+    return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+
+@pytest.mark.parametrize("name", ["op7_quality_classifier", "op10_toxicity"])
+def test_queries_against_plain_scores(spark, name):
+    """The registered queries, whole tables and production parameters, against the definition of each score."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    got = {r.doc_id: r for r in queries.QUERIES[name](spark, sf).collect()}
+    quality = name.startswith("op7")
+    model = (quality_classifier if quality else toxicity).train(docs, labels)
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = plain_quality(r.text, model) if quality else plain_toxicity(r.text, model)
+        assert abs(got[r.doc_id].score - want) < 1e-4 and got[r.doc_id].held_out == fold(r.doc_id)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= (0.3 if quality else 0.5))
+
+
+@pytest.mark.parametrize("module", [quality_classifier, toxicity])
+def test_stages_take_odd_tables(spark, docs, module):
+    """Null and blank texts, repeated rows, texts that are no strings, columns of clashing names, and an empty table."""
+    keep = module.accepted if module is quality_classifier else module.harmless
+    model = np.zeros(quality_classifier.BUCKETS + 1, np.float32) if module is quality_classifier else {"": -1.0}
+    odd = docs([(1, "a b")])
+    odd = odd.withColumns({"score": odd["doc_id"], "held_out": odd["text"]})
+    assert sorted(map(str, keep(odd, model, 0.5).collect())) == sorted(map(str, odd.collect()))
+    numbers = spark.createDataFrame([(1, 5), (2, None)], "doc_id long, text long")
+    assert keep(numbers, model, 0.5).count() == 2 and keep(odd.limit(0), model, 0.5).count() == 0
+    assert module.scored(odd, model).count() == odd.count()
