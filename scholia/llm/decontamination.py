@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, pick, written
+from .shared import dropped, pick, sized, written
 
 #: Words of a shingle; least weighted similarity; Hamming radius of a window's and an item's fingerprints.
 #: A pair at 0.8 differs in 10 of 64 bits on average, so 23 is more than four deviations away.
 WIDTH, SIMILARITY, RADIUS, BLOCK = 5, 0.8, 23, 8
-#: Bytes, as measured, up to which a table is broadcast; beyond it Spark joins by shuffle, with the same result.
-MOST_BROADCAST = 48 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -54,17 +52,6 @@ def block(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, k * BLOCK).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int")
 
 
-def measured(df: DataFrame) -> int:
-    """Bytes of the rows of ``df``: eight for a number, a string's own, sixteen for each member of an array and 48 for the row."""
-    width = lambda c, kind: F.octet_length(c) if kind == "string" else 16 * F.size(c) if kind.startswith("array") else F.lit(8)
-    one = sum((F.coalesce(width(F.col(c), kind), F.lit(0)).cast("long") for c, kind in df.dtypes), F.lit(48).cast("long"))
-    return df.agg(F.sum(one)).head()[0] or 0
-
-
-def sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if measured(df) <= MOST_BROADCAST else df
-
-
 def known_shingles(items: DataFrame, widths: list[int], width: int) -> DataFrame:
     """Each item's distinct shingles: item, long (its words), whole (its weight), n and h (a shingle's words and hash), w (its weight)."""
     found = None

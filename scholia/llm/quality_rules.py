@@ -1,10 +1,10 @@
-"""Quality rules: counts of a text, and its divergence from its language's character classes and common words."""
+"""Quality rules: counts of a text, and its distance from its language's character classes and common words."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import pick, written
@@ -16,10 +16,12 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur plus pas au avec il sont ce ou",
     "es": "de la que el en y los del se las por un para con no una su al es lo como más o pero sus",
 }
-#: Greatest Jensen-Shannon divergence (base 2) from the reference: of a long text, and what a short one's chance
-#: adds, divided by its characters or words.  Texts with fewer are not judged by that histogram.
-MOST_CLASSES, CLASS_NOISE, LEAST_CHARS = 0.06, 15.0, 100
-MOST_WORDS, WORD_NOISE, LEAST_WORDS = 0.06, 5.0, 40
+#: Greatest Jensen-Shannon distance (base 2) from the reference: of a long text, and what chance adds to a short one's
+#: squared, times its characters or words.  Texts with fewer are not judged by that histogram.
+MOST_CLASSES, CLASS_NOISE, LEAST_CHARS = 0.245, 15.0, 100
+MOST_WORDS, WORD_NOISE, LEAST_WORDS = 0.245, 5.0, 40
+#: Least share of its language's common words that a document of a reference has: the fixed lists anchor what is counted.
+LEAST_COMMON = 0.1
 CLASSES = ["a-z", "A-Z", "0-9", "space", "line", "mark", "quote", "symbol", "ascii", "two bytes", "more bytes"]
 SYMBOLS = b"#*$%&|<>"
 
@@ -99,8 +101,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of counts from a reference; without counts on either side 0."""
+def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, the root of the divergence in bits, of each row of counts from a reference; without counts on either side 0."""
     reference = reference.astype(float)
     if not reference.sum():
         return np.zeros(len(counts))
@@ -109,39 +111,60 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         d = (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(1) / 2
-    return np.where(counts.sum(1) > 0, d, 0.0)
+    return np.where(counts.sum(1) > 0, np.sqrt(np.maximum(d, 0.0)), 0.0)
+
+
+def _group(lang: Column) -> Column:
+    return F.when(lang.isin(list(COMMON)), lang).otherwise(F.lit(""))
+
+
+def _common_share() -> Column:
+    """The share of a row's words that are common ones of its language; of an unknown language, of any."""
+    total = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
+    share = lambda lang: sum((F.col("common")[k] for k in own_words(lang)), F.lit(0)) / F.greatest(total, F.lit(1))
+    out = share("")
+    for lang in COMMON:
+        out = F.when(F.col("lang") == lang, share(lang)).otherwise(out)
+    return out
 
 
 def references(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms of all documents that pass the base rules, by each language of COMMON, and pooled under "".
+    """Mean histograms of documents by each language of COMMON, and pooled under "": every document weighs the same, whatever its length.
 
-    A few sums of fixed length come to the driver, whatever the input.
+    Only documents that pass the base rules, are long enough to be judged, and have a least share of common
+    words take part, so a corpus of junk makes no reference of itself.  Twelve dozen numbers a language
+    come to the driver, whatever the input.
     """
-    lang = F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(F.lit(""))
-    sums = [F.sum(F.col("classes")[k]).alias(f"a{k}") for k in range(len(CLASSES))] + [F.sum(F.col("common")[k]).alias(f"b{k}") for k in range(len(_PLACE) + 1)]
+    fit = stats.where(~F.col("base_failed") & (F.col("word_chars") >= LEAST_CHARS) & (F.col("n_words") >= LEAST_WORDS) & (_common_share() >= LEAST_COMMON))
+    chars, words = (F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) for c in ("classes", "common"))
+    sums = [F.sum(F.col("classes")[k] / chars).alias(f"a{k}") for k in range(len(CLASSES))] + [F.sum(F.col("common")[k] / words).alias(f"b{k}") for k in range(len(_PLACE) + 1)]
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in stats.where(~F.col("base_failed")).groupBy(lang.alias("of")).agg(*sums).collect():
+    for r in fit.groupBy(_group(F.col("lang")).alias("of")).agg(*sums).collect():
         out[r["of"]] = (np.array([r[f"a{k}"] for k in range(len(CLASSES))]), np.array([r[f"b{k}"] for k in range(len(_PLACE) + 1)]))
     out[""] = (sum((x for x, _ in out.values()), np.zeros(len(CLASSES))), sum((y for _, y in out.values()), np.zeros(len(_PLACE) + 1)))
     return out
 
 
+def robust_references(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """``references`` of the middle of each language: those of all documents first, then of the half that lies nearest to them by both histograms."""
+    far = judged(stats, references(stats))
+    middle = {r["of"]: (r["c"], r["w"]) for r in far.where("not base_failed").groupBy(_group(F.col("lang")).alias("of")).agg(F.percentile_approx("class_distance", 0.5).alias("c"), F.percentile_approx("word_distance", 0.5).alias("w")).collect()}
+    near = F.lit(False)
+    for lang, (c, w) in middle.items():
+        near |= (_group(F.col("lang")) == lang) & (F.col("class_distance") <= c) & (F.col("word_distance") <= w)
+    return references(far.where(near))
+
+
 def own_words(lang: str) -> list[int]:
     """Places of a language's common words; without a known language, of all."""
     return [_PLACE[w] for w in COMMON[lang].split()] if lang in COMMON else list(_PLACE.values())
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence, word_divergence per row.
+_STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>, base_failed boolean"
 
-    A row is kept if it passes the base rules and neither of its histograms diverges from its language's
-    reference; texts under LEAST_CHARS word characters or LEAST_WORDS words are not judged by that histogram.
-    A null text has no words and so fails; a null or unknown language is held against all languages
-    pooled; null ids and repeated rows are judged like any other; an empty table gives an empty one;
-    other columns are left out.
-    """
-    stats = written(statistics(docs), "statistics")
-    known = references(stats)
+
+def judged(stats: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``stats`` with class_distance and word_distance from each row's reference, and whether either is too far."""
 
     def run(batches):
         for batch in batches:
@@ -154,12 +177,26 @@ def kept_documents(docs: DataFrame) -> DataFrame:
                 rows, at = np.array([x == lang for x in langs]), own_words(lang)
                 a, b = known.get(lang, known[""])
                 split = lambda c, total: np.column_stack([c[:, at], total - c[:, at].sum(1)])
-                by_class[rows] = divergence(classes[rows], a)
-                by_word[rows] = divergence(split(common[rows], words[rows]), split(b[None, :], np.array([b.sum()]))[0])
+                by_class[rows] = distance(classes[rows], a)
+                by_word[rows] = distance(split(common[rows], words[rows]), split(b[None, :], np.array([b.sum()]))[0])
             chars = batch.column(3).to_numpy().astype(float)
-            far = (chars >= LEAST_CHARS) & (by_class > MOST_CLASSES + CLASS_NOISE / np.maximum(chars, 1))
-            far |= (words >= LEAST_WORDS) & (by_word > MOST_WORDS + WORD_NOISE / np.maximum(words, 1))
-            failed = batch.column(9).to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(k) for k in range(2, 7)], batch.column(9), pa.array(~failed & ~far), pa.array(by_class), pa.array(by_word)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_divergence", "word_divergence"])
+            far = (chars >= LEAST_CHARS) & (by_class**2 > MOST_CLASSES**2 + CLASS_NOISE / np.maximum(chars, 1))
+            far |= (words >= LEAST_WORDS) & (by_word**2 > MOST_WORDS**2 + WORD_NOISE / np.maximum(words, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(by_class), pa.array(by_word), pa.array(far)], names=[*batch.schema.names, "class_distance", "word_distance", "far"])
+
+    return stats.mapInArrow(run, f"{_STATS}, class_distance double, word_distance double, far boolean")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance per row.
 
-    return stats.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_divergence double, word_divergence double")
+    A row is kept if it passes the base rules and neither of its histograms lies too far from its language's
+    reference; texts under LEAST_CHARS word characters or LEAST_WORDS words are not judged by that histogram.
+    A null text has no words and so fails; a null or unknown language is held against all languages
+    pooled, and so is one without a document fit for a reference; where there is no reference at all, none
+    is far; null ids and repeated rows are judged like any other, a distance equal to the bound is kept; a text of
+    any length is counted whole; an empty table gives an empty one; other columns are left out.
+    """
+    stats = written(statistics(docs), "statistics")
+    rows = judged(stats, robust_references(stats)).withColumn("kept", ~F.col("base_failed") & ~F.col("far"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scholia.llm import decontamination
+from scholia.llm import decontamination, shared
 
 
 def words(text):
@@ -118,7 +118,7 @@ def test_rows_are_judged_by_their_own_text(spark):
 @pytest.mark.parametrize("broadcast", [0, 1 << 30])
 def test_mixed_word_lengths_and_a_long_text(spark, monkeypatch, broadcast):
     """Windows that start between those that align: short shared words between very long ones; joins by shuffle give the same."""
-    monkeypatch.setattr(decontamination, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(shared, "MOST_BROADCAST", broadcast)
     rnd = random.Random(17)
     short = lambda n: ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(n)]
     items = [(k, " ".join(short(30))) for k in range(12)] + [(20, "one two three"), (21, "solo")]

@@ -1,9 +1,10 @@
 import itertools
+import math
 import random
 
 import pytest
 
-from scholia.llm import url_filter
+from scholia.llm import shared, url_filter
 
 
 def plain(url):
@@ -28,11 +29,11 @@ URLS = [
 
 def test_hosts_paths_and_listed_rules(spark):
     df = spark.createDataFrame([(k, u, "x") for k, u in enumerate([*URLS, URLS[4]])] + [(None, URLS[5], "x")], "page_id long, url string, host string")
-    for row in url_filter.judged(df, []).collect():
+    for row in url_filter.judged(df).collect():
         url = URLS[5] if row.page_id is None else [*URLS, URLS[4]][row.page_id]
         host, path, rule, verdict = plain(url)
         assert (row.host, row.path, row.rule, row.verdict, row.mined_rule) == (host, path, rule, verdict or "allow", None), url
-    assert url_filter.judged(df.limit(0), [["host:a"]]).count() == 0
+    assert url_filter.judged(df.limit(0), url_filter.mine(spark.createDataFrame(made(300), "url string, bad boolean"))).count() == 0
 
 
 def made(n=900):
@@ -45,32 +46,65 @@ def made(n=900):
     return rows
 
 
-def test_mined_rules(spark):
-    rows = made()
-    df = spark.createDataFrame(rows, "url string, bad boolean")
-    got = url_filter.mine(df, support=0.02, confidence=0.8, length=2)
-    bags = [(frozenset(r[0]), b) for r, b in zip(df.select(url_filter.tokens(df["url"])).collect(), [b for _, b in rows])]
-    every = sorted({t for bag, _ in bags for t in bag})
+def strong(rows, bags, most_length, confidence, lift, least_z, support=0.02):
+    """All token combinations up to a length that pass, the shortest only, by plain counting."""
+    n, bad = len(rows), sum(b for _, b in rows)
+    every = sorted({t for bag, _ in bags for t in bag if sum(t in x for x, _ in bags) <= url_filter.MOST_SHARE * n})
     good = []
-    for n in (1, 2):
-        for left in map(frozenset, itertools.combinations(every, n)):
+    for size in range(1, most_length + 1):
+        for left in map(frozenset, itertools.combinations(every, size)):
             hits = [b for bag, b in bags if left <= bag]
-            if sum(hits) >= 20 and sum(hits) >= 0.02 * len(rows) and sum(hits) >= 0.8 * len(hits):
+            k, m, base = sum(hits), len(hits), bad / n
+            if k >= max(20, support * n) and k >= confidence * m and k / m >= lift * base and k - m * base >= least_z * math.sqrt(m * base * (1 - base)):
                 good.append(left)
-    assert got == sorted(sorted(x) for x in good if not any(y < x for y in good))
-    assert ["host:spam"] in got and ["host:mixed", "path:shop"] in got
-    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
-    judged = {r.page_id: r for r in url_filter.judged(pages, got).collect()}
-    for k, (bag, _) in enumerate(bags):
-        assert (judged[k].verdict == "block") == any(set(x) <= bag for x in got)
+    return sorted(sorted(x) for x in good if not any(y < x for y in good))
 
 
-@pytest.mark.parametrize("rows", [[], [("http://a.b/c", False)], [(None, True)], [("http://a.b/c", None)]])
+@pytest.mark.parametrize("broadcast", [0, 1 << 30])
+def test_mined_rules(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(shared, "MOST_BROADCAST", broadcast)
+    rows = made()
+    df = spark.createDataFrame([*rows, ("http://x.test/", None)], "url string, bad boolean")
+    mined = url_filter.mine(df, support=0.02, confidence=0.8)
+    got = sorted(r.tokens for r in mined.collect())
+    bags = [(frozenset(r[0]), b) for r, b in zip(df.where("bad is not null").select(url_filter.tokens(df["url"])).collect(), [b for _, b in rows])]
+    assert got == strong(rows, bags, 3, 0.8, url_filter.LIFT, url_filter.LEAST_Z)
+    assert ["host:spam"] in got and ["host:mixed", "path:shop"] in got
+    for r in mined.collect():
+        hits = [b for bag, b in bags if set(r.tokens) <= bag]
+        assert (r.n, r.bad) == (len(hits), sum(hits)) and r.anchor in r.tokens
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)] * 2, "page_id long, url string")
+    judged = url_filter.judged(pages, mined).collect()
+    assert len(judged) == 2 * len(rows)
+    for r in judged:
+        fits = sorted(" & ".join(x) for x in got if set(x) <= bags[r.page_id][0])
+        assert (r.verdict, r.mined_rule) == (("block", fits[0]) if fits else ("allow", None))
+
+
+def test_many_rules_and_long_ones(spark):
+    """Hundreds of rules, and one of four tokens."""
+    rows = [(f"http://h{k % 1200}.test/s{k % 1200}/{k}", k % 1200 < 300) for k in range(1200 * 25)]
+    five = [(f"http://a.b/{x}?" + "&".join(sorted(set("pqrs") - ({y} if y else set()))) + ("" if y else f"&t={x}"), y is None) for x in range(40) for y in (None, "p", "q", "r", "s")]
+    mined = url_filter.mine(spark.createDataFrame(rows + five, "url string, bad boolean"), support=0.0001, confidence=0.8)
+    got = [set(r.tokens) for r in mined.collect()]
+    assert sum(any(t.startswith("host:h") for t in x) for x in got) >= 300
+    assert {"query:p", "query:q", "query:r", "query:s"} in got
+
+
+def test_shuffled_labels_give_no_rule(spark):
+    """What chance alone would find is kept out, at every base rate of bad urls."""
+    for seed, share in ((1, 0.1), (2, 0.25), (3, 0.45)):
+        rnd = random.Random(seed)
+        rows = [(u, rnd.random() < share) for u, _ in made(1500)]
+        assert url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [("http://a.b/c", False)], [(None, True)] * 30, [("http://a.b/c", None)], [("http://a.b/c", True)] * 30])
 def test_nothing_to_mine(spark, rows):
-    assert url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean")) == []
+    assert url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
 
 
 def test_labels_reach_pages_by_the_paths_number(spark):
-    pages = spark.createDataFrame([("http://x/en/5?p=1",), ("http://x/en/6.html",), ("http://x/en/",), (None,), ("http://x/99999999999999999999",)], "url string")
-    labels = spark.createDataFrame([(5, 0, 0), (5, 1, 0), (6, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
-    assert sorted(map(tuple, url_filter.labelled_urls(pages, labels).collect())) == [("http://x/en/5?p=1", True), ("http://x/en/6.html", True)]
+    pages = spark.createDataFrame([("http://x/en/5?p=1",), ("http://x/en/6.html",), ("http://x/en/",), (None,), ("http://x/99999999999999999999",), ("http://x/8/",)], "url string")
+    labels = spark.createDataFrame([(5, 0, 0), (5, 1, 0), (6, 1, 1), (7, 1, 0), (8, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, url_filter.labelled_urls(pages, labels).collect())) == [("http://x/8/", False), ("http://x/en/5?p=1", True), ("http://x/en/6.html", True)]
