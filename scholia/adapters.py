@@ -10,8 +10,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers."""
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("p"), F.col("doc_id")).alias("paper_id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.col("lang").alias("venue"),
@@ -19,13 +19,13 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAPERS = """papers AS (SELECT 'p' || doc_id AS paper_id, substr(split_part(text, chr(10), 1), 1, 60) AS title, (2000 + doc_id % 25)::INT AS year, lang AS venue,
+ARTICLES = """articles AS (SELECT 'p' || doc_id AS paper_id, substr(split_part(text, chr(10), 1), 1, 60) AS title, (2000 + doc_id % 25)::INT AS year, lang AS venue,
   ['Ada ' || (doc_id % 7), 'Bo ' || (doc_id % 11)] AS authors, [source, lang] AS tags, text, doc_id FROM documents)"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as chunks: eight lines a chapter, four a section; every fifth is an equation; one exhibit each."""
-    p = papers(spark, sf_dir)
+    p = articles(spark, sf_dir)
     rows = p.select("paper_id", "title", "year", "venue", "authors", "tags", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     place = F.col("pos")
     return rows.select(
@@ -34,19 +34,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHUNKS = f"""{PAPERS}, lines AS (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM papers),
+CHUNKS = f"""{ARTICLES}, lines AS (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM articles),
 chunks AS (SELECT paper_id || '/' || pos AS chunk_id, paper_id, title, year, venue, authors, tags, (pos // 8)::INT AS chapter_idx, ((pos // 4) % 2)::INT AS section_idx, (pos % 4)::INT AS chunk_idx,
   'Section ' || ((pos // 4) % 2) AS section_title, CASE WHEN pos % 5 = 4 THEN 'equation' ELSE 'text' END AS block_type, line AS text, ['fig' || (pos % 3)] AS exhibit_ids, pos, doc_id FROM lines)"""
 
 
 def exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three exhibits for every third paper."""
-    p = papers(spark, sf_dir).where("doc_id % 3 = 0").select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    p = articles(spark, sf_dir).where("doc_id % 3 = 0").select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
     return p.select(F.concat(F.lit("fig"), "n").alias("exhibit_id"), "paper_id", F.element_at(F.array(F.lit("figure"), F.lit("table"), F.lit("algorithm")), F.col("n") + 1).alias("exhibit_type"), F.concat(F.lit("Caption "), "n").alias("caption"), F.col("n").alias("chapter_idx"))
 
 
 EXHIBITS = """exhibits AS (SELECT 'fig' || n AS exhibit_id, paper_id, ['figure', 'table', 'algorithm'][n + 1] AS exhibit_type, 'Caption ' || n AS caption, n::INT AS chapter_idx
-  FROM papers, unnest([0, 1, 2]) t(n) WHERE doc_id % 3 = 0)"""
+  FROM articles, unnest([0, 1, 2]) t(n) WHERE doc_id % 3 = 0)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,29 +34,29 @@ def query(sql: str | None = None):
 # ---- filters ----
 
 
-@query(f"WITH {ad.PAPERS} SELECT paper_id, title FROM papers WHERE paper_id IN ('p1', 'p5', 'p''x', 'p12')")
+@query(f"WITH {ad.ARTICLES} SELECT paper_id, title FROM articles WHERE paper_id IN ('p1', 'p5', 'p''x', 'p12')")
 def flt_in(spark, sf):
-    return filters.matching(ad.papers(spark, sf), filters.papers(["p1", "p5", "p'x", "p12"])).select("paper_id", "title")
+    return filters.matching(ad.articles(spark, sf), filters.articles(["p1", "p5", "p'x", "p12"])).select("paper_id", "title")
 
 
-@query(f"WITH {ad.PAPERS} SELECT count(*)::BIGINT AS papers FROM papers")
+@query(f"WITH {ad.ARTICLES} SELECT count(*)::BIGINT AS articles FROM articles")
 def flt_empty_list(spark, sf):
-    return filters.matching(ad.papers(spark, sf), filters.papers([])).agg(F.count("*").alias("papers"))
+    return filters.matching(ad.articles(spark, sf), filters.articles([])).agg(F.count("*").alias("articles"))
 
 
-@query(f"WITH {ad.PAPERS} SELECT paper_id, year FROM papers WHERE year >= 2005 AND year <= 2011 AND venue = 'en'")
+@query(f"WITH {ad.ARTICLES} SELECT paper_id, year FROM articles WHERE year >= 2005 AND year <= 2011 AND venue = 'en'")
 def flt_year_range(spark, sf):
-    return filters.matching(ad.papers(spark, sf), filters.years(2005, 2011), filters.equals("venue", "en")).select("paper_id", "year")
+    return filters.matching(ad.articles(spark, sf), filters.years(2005, 2011), filters.equals("venue", "en")).select("paper_id", "year")
 
 
-@query(f"WITH {ad.PAPERS} SELECT paper_id FROM papers WHERE list_has_any(tags, ['src3', 'fr'])")
+@query(f"WITH {ad.ARTICLES} SELECT paper_id FROM articles WHERE list_has_any(tags, ['src3', 'fr'])")
 def flt_tags_any(spark, sf):
-    return filters.matching(ad.papers(spark, sf), filters.any_tag(["src3", "fr"])).select("paper_id")
+    return filters.matching(ad.articles(spark, sf), filters.any_tag(["src3", "fr"])).select("paper_id")
 
 
-@query(f"WITH {ad.PAPERS} SELECT paper_id FROM papers WHERE len(list_filter(authors, lambda a: contains(lower(a), 'ada 3') OR contains(lower(a), 'bo 1'))) > 0")
+@query(f"WITH {ad.ARTICLES} SELECT paper_id FROM articles WHERE len(list_filter(authors, lambda a: contains(lower(a), 'ada 3') OR contains(lower(a), 'bo 1'))) > 0")
 def flt_author_any(spark, sf):
-    return filters.matching(ad.papers(spark, sf), filters.any_author(["ADA 3", "bo 1"])).select("paper_id")
+    return filters.matching(ad.articles(spark, sf), filters.any_author(["ADA 3", "bo 1"])).select("paper_id")
 
 
 @query(f"WITH {ad.CHUNKS} SELECT chunk_id, text FROM chunks WHERE paper_id = 'p1' AND chapter_idx = 0 AND section_idx = 1")
@@ -189,7 +189,7 @@ def vec_chunks(spark, sf):
 
 @query(f"WITH {ad.VECTORS} SELECT chunk_id AS exhibit_id, score FROM vectors WHERE paper_id IN ('p1', 'p2') ORDER BY score, chunk_id LIMIT 5")
 def vec_exhibits(spark, sf):
-    rows = filters.matching(ad.vectors(spark, sf), filters.papers(["p1", "p2"])).withColumnRenamed("chunk_id", "exhibit_id")
+    rows = filters.matching(ad.vectors(spark, sf), filters.articles(["p1", "p2"])).withColumnRenamed("chunk_id", "exhibit_id")
     return vector.nearest(rows, ad.query_vector(spark, sf), 5, "exhibit_id").select("exhibit_id", "score")
 
 
@@ -242,12 +242,12 @@ _FIRST = "arg_min({0}, pos)"
   SELECT p.paper_id, title, year, venue, array_to_string(authors, ';') AS authors, chunk_count, coalesce(n, 0)::BIGINT AS exhibit_count
   FROM (SELECT paper_id, {_FIRST.format('title')} AS title, {_FIRST.format('year')} AS year, {_FIRST.format('venue')} AS venue, {_FIRST.format('authors')} AS authors, count(*)::BIGINT AS chunk_count FROM chunks GROUP BY paper_id) p LEFT JOIN c USING (paper_id)
   WHERE len(list_filter(authors, lambda a: contains(lower(a), 'ada 2'))) > 0 ORDER BY year DESC NULLS LAST, p.paper_id LIMIT 20""")
-def list_papers(spark, sf):
-    rows = index.list_papers(ad.chunks(spark, sf), ad.exhibits(spark, sf), filters.any_author(["Ada 2"]), limit=20)
+def list_articles(spark, sf):
+    rows = index.list_articles(ad.chunks(spark, sf), ad.exhibits(spark, sf), filters.any_author(["Ada 2"]), limit=20)
     return rows.select("paper_id", "title", "year", "venue", F.array_join("authors", ";").alias("authors"), "chunk_count", "exhibit_count")
 
 
-@query(f"WITH {ad.CHUNKS} SELECT tag, count(DISTINCT paper_id)::BIGINT AS papers FROM (SELECT paper_id, unnest(tags) AS tag FROM chunks) GROUP BY tag")
+@query(f"WITH {ad.CHUNKS} SELECT tag, count(DISTINCT paper_id)::BIGINT AS articles FROM (SELECT paper_id, unnest(tags) AS tag FROM chunks) GROUP BY tag")
 def list_tags(spark, sf):
     return index.list_tags(ad.chunks(spark, sf))
 
@@ -294,7 +294,7 @@ def resolve_paper(spark, sf):
     return index.resolve_paper(ad.chunks(spark, sf), "The")
 
 
-@query(f"WITH {ad.PAPERS} SELECT x AS paper_id, x IN (SELECT paper_id FROM papers) AS indexed FROM unnest(['p1', 'p2', 'nope']) t(x)")
+@query(f"WITH {ad.ARTICLES} SELECT x AS paper_id, x IN (SELECT paper_id FROM articles) AS indexed FROM unnest(['p1', 'p2', 'nope']) t(x)")
 def is_indexed(spark, sf):
     return index.is_indexed(ad.chunks(spark, sf), spark.createDataFrame([("p1",), ("p2",), ("nope",)], "paper_id string"))
 
@@ -359,9 +359,9 @@ def chunk_fold(spark, sf):
     return ingest.folded(s.select(F.col("doc").alias("paper_id"), F.col("page").alias("page_no"), F.col("seq").alias("block_no"), kind.alias("block_type"), html.alias("html"), "page"))
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ingested' END AS status, count(*)::BIGINT AS papers FROM documents GROUP BY ALL")
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ingested' END AS status, count(*)::BIGINT AS articles FROM documents GROUP BY ALL")
 def ingest_outcomes(spark, sf):
-    p = ad.papers(spark, sf).select("paper_id", "doc_id")
+    p = ad.articles(spark, sf).select("paper_id", "doc_id")
     return store.outcome_counts(p.select("paper_id"), p.where("doc_id % 2 = 0"), p.where("doc_id % 5 = 0"))
 
 

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 MOST_LITERALS = 500
 
 
-def papers(ids: list[str] | None, strict: bool = False) -> Column | None:
-    """Rows of the named papers.  An empty list asks for nothing; ``strict``: for no row."""
+def articles(ids: list[str] | None, strict: bool = False) -> Column | None:
+    """Rows of the named articles.  An empty list asks for nothing; ``strict``: for no row."""
     if ids is None or not ids and not strict:
         return None
     return F.col("paper_id").isin(list(ids))
 
 
-def only_papers(df: DataFrame, ids: list[str]) -> DataFrame:
-    """As ``papers``; a long list becomes a semi-join."""
+def only_articles(df: DataFrame, ids: list[str]) -> DataFrame:
+    """As ``articles``; a long list becomes a semi-join."""
     if len(ids) <= MOST_LITERALS:
-        return matching(df, papers(ids))
+        return matching(df, articles(ids))
     return df.join(df.sparkSession.createDataFrame([(x,) for x in set(ids)], "paper_id string"), "paper_id", "left_semi")
 
 
@@ -54,7 +54,7 @@ def scope(paper: str | None, chapter: int | None, section: int | None) -> list[C
         raise ValueError("a section needs its chapter")
     if chapter is not None and paper is None:
         raise ValueError("a chapter needs its paper")
-    return [papers([paper]) if paper is not None else None, equals("chapter_idx", chapter), equals("section_idx", section)]
+    return [articles([paper]) if paper is not None else None, equals("chapter_idx", chapter), equals("section_idx", section)]
 
 
 def matching(df: DataFrame, *predicates: Column | None) -> DataFrame:

@@ -16,9 +16,9 @@ ORDER = [*SECTION, "chunk_idx"]
 
 def resolve_paper(chunks: DataFrame, asked: str) -> DataFrame:
     """paper_id, title, rank of the paper meant: its exact id, else the first whose title holds the text, whatever the case."""
-    papers = chunks.select("paper_id", "title").distinct()
+    articles = chunks.select("paper_id", "title").distinct()
     rank = F.when(F.col("paper_id") == asked, 0).when(F.contains(F.lower("title"), F.lit(asked.lower())), 1)
-    return papers.withColumn("rank", rank).where("rank is not null").orderBy("rank", "paper_id").limit(1)
+    return articles.withColumn("rank", rank).where("rank is not null").orderBy("rank", "paper_id").limit(1)
 
 
 def is_indexed(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -46,12 +46,12 @@ def positions(chunks: DataFrame) -> DataFrame:
     """
     sections = chunks.groupBy(*SECTION).agg(F.count("*").alias("chunks_in_section"), F.min("chunk_idx").alias("low"), F.max("chunk_idx").alias("high"))
     chapters = sections.groupBy("paper_id", "chapter_idx").agg(F.count("*").alias("sections_in_chapter"))
-    papers = chapters.groupBy("paper_id").agg(F.count("*").alias("chapters_in_paper"))
-    rows = chunks.select(*ORDER, "chunk_id").join(sections, SECTION).join(chapters, ["paper_id", "chapter_idx"]).join(papers, "paper_id")
+    articles = chapters.groupBy("paper_id").agg(F.count("*").alias("chapters_in_paper"))
+    rows = chunks.select(*ORDER, "chunk_id").join(sections, SECTION).join(chapters, ["paper_id", "chapter_idx"]).join(articles, "paper_id")
     return rows.withColumns({"is_first": F.col("chunk_idx") == F.col("low"), "is_last": F.col("chunk_idx") == F.col("high")}).drop("low", "high")
 
 
-def list_papers(chunks: DataFrame, exhibits: DataFrame, author: Column | None = None, by: str = "year", limit: int | None = None) -> DataFrame:
+def list_articles(chunks: DataFrame, exhibits: DataFrame, author: Column | None = None, by: str = "year", limit: int | None = None) -> DataFrame:
     """One row per paper: its first chunk's metadata, chunks and exhibits; by year, newest first and unknown last, or by title."""
     first = lambda c: F.min_by(c, F.struct("chapter_idx", "section_idx", "chunk_idx")).alias(c)
     rows = chunks.groupBy("paper_id").agg(*[first(c) for c in ("title", "year", "venue", "authors", "tags")], F.count("*").alias("chunk_count"))
@@ -63,8 +63,8 @@ def list_papers(chunks: DataFrame, exhibits: DataFrame, author: Column | None =
 
 
 def list_tags(chunks: DataFrame) -> DataFrame:
-    """tag, papers: most papers first."""
-    return chunks.select("paper_id", F.explode("tags").alias("tag")).distinct().groupBy("tag").agg(F.count("*").alias("papers")).orderBy(F.desc("papers"), "tag")
+    """tag, articles: most articles first."""
+    return chunks.select("paper_id", F.explode("tags").alias("tag")).distinct().groupBy("tag").agg(F.count("*").alias("articles")).orderBy(F.desc("articles"), "tag")
 
 
 def list_sections(chunks: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def outline_rollup(chunks: DataFrame) -> DataFrame:
 
 
 def get_work(chunks: DataFrame, exhibits: DataFrame, paper: str) -> DataFrame:
-    return list_papers(chunks.where(F.col("paper_id") == paper), exhibits.where(F.col("paper_id") == paper))
+    return list_articles(chunks.where(F.col("paper_id") == paper), exhibits.where(F.col("paper_id") == paper))
 
 
 def get_section(chunks: DataFrame, paper: str, chapter: int, section: int) -> DataFrame:

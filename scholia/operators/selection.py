@@ -1,4 +1,4 @@
-"""Named selections of papers: set operations by several keys."""
+"""Named selections of articles: set operations by several keys."""
 
 from __future__ import annotations
 

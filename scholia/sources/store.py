@@ -21,7 +21,7 @@ def default_path(given: str | None = None) -> str:
 class Store:
     """Chunks and exhibits as Parquet, one folder a paper: filters on ``paper_id`` prune folders.
 
-    For very many papers partition by a bucket of the id instead: ``buckets`` hashes ids to that many folders.
+    For very many articles partition by a bucket of the id instead: ``buckets`` hashes ids to that many folders.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 0):
@@ -38,7 +38,7 @@ class Store:
         return schemas.migrated(kept, name, schemas.VERSION - 1 if set(order) - set(kept.columns) else schemas.VERSION).select(order)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Papers in ``rows`` replace what the table holds of them; others stay.
+        """Articles in ``rows`` replace what the table holds of them; others stay.
 
         One folder a paper: folders are swapped by dynamic overwrite.  Buckets: the folders touched are
         rewritten from what stays and ``rows``, by way of a checkpoint, since they are read and written at once.
@@ -52,18 +52,18 @@ class Store:
         kept = held.join(rows.select("paper_id").distinct(), "paper_id", "left_anti")
         kept.select(rows.columns).unionByName(rows).checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
-    def remove(self, papers: list[str]) -> None:
-        """Drops papers from both tables."""
+    def remove(self, articles: list[str]) -> None:
+        """Drops articles from both tables."""
         for name in TABLES:
             if not self.buckets:
                 escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-                for paper in papers:
+                for paper in articles:
                     self._drop(f"{name}/paper_id={escape(paper)}")
                 continue
             bucket = F.pmod(F.xxhash64("paper_id"), F.lit(self.buckets))
             held = self.table(name).withColumn("bucket", bucket)
-            touched = {r["bucket"] for r in held.where(F.col("paper_id").isin(papers)).select("bucket").distinct().collect()}
-            kept = held.where(F.col("bucket").isin(touched) & ~F.col("paper_id").isin(papers)).checkpoint()
+            touched = {r["bucket"] for r in held.where(F.col("paper_id").isin(articles)).select("bucket").distinct().collect()}
+            kept = held.where(F.col("bucket").isin(touched) & ~F.col("paper_id").isin(articles)).checkpoint()
             kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
             # A bucket left empty has no rows to overwrite it with.
             for b in touched - {r["bucket"] for r in kept.select("bucket").distinct().collect()}:
@@ -80,6 +80,6 @@ class Store:
 
 
 def outcome_counts(candidates: DataFrame, indexed: DataFrame, failed: DataFrame) -> DataFrame:
-    """status, papers: skipped, failed or ingested of a batch."""
+    """status, articles: skipped, failed or ingested of a batch."""
     rows = candidates.join(indexed.select("paper_id").distinct().withColumn("held", F.lit(True)), "paper_id", "left").join(failed.select("paper_id").distinct().withColumn("bad", F.lit(True)), "paper_id", "left")
-    return rows.groupBy(F.when(F.col("held"), "skipped").when(F.col("bad"), "failed").otherwise("ingested").alias("status")).agg(F.count("*").alias("papers"))
+    return rows.groupBy(F.when(F.col("held"), "skipped").when(F.col("bad"), "failed").otherwise("ingested").alias("status")).agg(F.count("*").alias("articles"))

@@ -35,5 +35,5 @@ def first_deliveries(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, store: Store, table: str, checkpoint: str):
-    """Each micro-batch replaces its papers in the store; a batch that comes again changes nothing."""
+    """Each micro-batch replaces its articles in the store; a batch that comes again changes nothing."""
     return stream.writeStream.foreachBatch(lambda df, _: store.upsert(table, df)).option("checkpointLocation", checkpoint)

@@ -109,7 +109,7 @@ def test_pages_and_scopes(works):
         filters.scope(None, 1, None)
     with pytest.raises(ValueError):
         filters.scope("p", None, 1)
-    assert filters.matching(works, filters.papers([])).count() == 3
+    assert filters.matching(works, filters.articles([])).count() == 3
 
 
 # ---- folds ----
@@ -189,8 +189,8 @@ def test_sources(spark, tmp_path):
     assert [(r.seq, r.parent_seq, r.type, r.depth, r.text) for r in blocks.read_reflow(spark, str(tmp_path / "r")).orderBy("seq").collect()] == [(0, None, "document", None, None), (1, 0, "heading", 1, "H"), (2, 1, "text", None, "c")]
 
 
-def chunk_rows(spark, papers):
-    return spark.createDataFrame([(f"{p}/{k}", p, [0.0], "c", 0, "s", 0, k, "paragraph", "text", t, None, None, "T", ["A"], 2000, None, ["x"], []) for p, t in papers for k in range(2)], schemas.CHUNKS)
+def chunk_rows(spark, articles):
+    return spark.createDataFrame([(f"{p}/{k}", p, [0.0], "c", 0, "s", 0, k, "paragraph", "text", t, None, None, "T", ["A"], 2000, None, ["x"], []) for p, t in articles for k in range(2)], schemas.CHUNKS)
 
 
 @pytest.mark.parametrize("buckets", [0, 4])
