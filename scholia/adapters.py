@@ -14,12 +14,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.concat(F.lit("p"), F.col("doc_id")).alias("paper_id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.col("lang").alias("venue"),
+        F.concat(F.lit("p"), F.col("doc_id")).alias("paper_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.col("lang").alias("venue"),
         F.array(F.concat(F.lit("Ada "), F.col("doc_id") % 7), F.concat(F.lit("Bo "), F.col("doc_id") % 11)).alias("authors"), F.array("source", "lang").alias("tags"), "text", "doc_id",
     )
 
 
-ARTICLES = """articles AS (SELECT 'p' || doc_id AS paper_id, substr(split_part(text, chr(10), 1), 1, 60) AS title, (2000 + doc_id % 25)::INT AS year, lang AS venue,
+ARTICLES = """articles AS (SELECT 'p' || doc_id AS paper_id, split_part(text, chr(10), 1) AS title, (2000 + doc_id % 25)::INT AS year, lang AS venue,
   ['Ada ' || (doc_id % 7), 'Bo ' || (doc_id % 11)] AS authors, [source, lang] AS tags, text, doc_id FROM documents)"""
 
 
@@ -101,16 +101,15 @@ ITEMS = """items AS (SELECT 'I' || event_id AS item_key, event_id AS version, ev
   'Title ' || event_type || ' ' || event_id AS title, event_id, user_id FROM events)"""
 
 
-def entries(spark: SparkSession, sf_dir: str, step: int, keyed: bool = True) -> DataFrame:
-    """Every ``step``-th document as a selection's entry."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % step == 0)
-    key = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("K"), "doc_id")) if keyed else F.lit(None).cast("string")
-    return d.select(F.col("doc_id").alias("entry"), key.alias("item_key"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("W"), "doc_id")).alias("entity_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.5/D"), F.floor(F.col("doc_id") / 2))).alias("doi"), F.substring("text", 1, 30).alias("title"))
+def entries(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
+    """Documents as a selection's entries; keys are made of ``times`` their ids, so selections of different ``times`` share some."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id") * times
+    return d.select(F.col("doc_id").alias("entry"), F.when(n % 2 == 0, F.concat(F.lit("K"), n)).alias("item_key"), F.when(n % 7 == 0, F.concat(F.lit("W"), n)).alias("entity_id"), F.when(n % 3 == 0, F.concat(F.lit("https://doi.org/10.5/D"), F.floor(n / 2))).alias("doi"), F.col("text").alias("title"))
 
 
-def entries_sql(step: int, keyed: bool = True) -> str:
-    key = "CASE WHEN doc_id % 2 = 0 THEN 'K' || doc_id END" if keyed else "NULL::VARCHAR"
-    return f"SELECT doc_id AS entry, {key} AS item_key, CASE WHEN doc_id % 7 = 0 THEN 'W' || doc_id END AS entity_id, CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.5/D' || (doc_id // 2) END AS doi, substr(text, 1, 30) AS title FROM documents WHERE doc_id % {step} = 0"
+def entries_sql(times: int) -> str:
+    n = f"(doc_id * {times})"
+    return f"SELECT doc_id AS entry, CASE WHEN {n} % 2 = 0 THEN 'K' || {n} END AS item_key, CASE WHEN {n} % 7 = 0 THEN 'W' || {n} END AS entity_id, CASE WHEN {n} % 3 = 0 THEN 'https://doi.org/10.5/D' || ({n} // 2) END AS doi, text AS title FROM documents"
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

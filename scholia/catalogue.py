@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import adapters as ad
@@ -93,10 +94,10 @@ def fn_doi_norm(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", text.bare_doi(F.concat(head, "doc_id")).alias("doi"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(range(least(len(w), 12)), lambda k: lpad(k::VARCHAR, 2, '0') || w[k + 1])), lambda x: substr(x, 3)), ' ') AS text
+@query(r"""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(range(len(w)), lambda k: lpad(k::VARCHAR, 9, '0') || w[k + 1])), lambda x: substr(x, 10)), ' ') AS text
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents)""")
 def fn_inverted_index(spark, sf):
-    words = F.slice(text.words(F.col("text")), 1, 12)
+    words = text.words(F.col("text"))
     rows = ad.table(spark, sf, "documents").select("doc_id", F.posexplode_outer(words).alias("at", "word"))
     index_ = F.map_from_entries(F.filter(F.collect_list(F.struct("word", "places")), lambda e: e["word"].isNotNull()))
     rows = rows.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(index_.alias("m"))
@@ -355,7 +356,7 @@ def chunk_fold(spark, sf):
     """Documents' lines as blocks, folded into token-budgeted chunks."""
     s = ad.sections(spark, sf)
     kind = F.when(F.col("seq") == 0, "SectionHeader").otherwise("Text")
-    html = F.when(F.col("seq") == 0, F.concat(F.lit("<h2>"), F.substring("text", 1, 40), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), "text", F.lit("</p>")))
+    html = F.when(F.col("seq") == 0, F.concat(F.lit("<h2>"), F.col("text"), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), "text", F.lit("</p>")))
     return ingest.folded(s.select(F.col("doc").alias("paper_id"), F.col("page").alias("page_no"), F.col("seq").alias("block_no"), kind.alias("block_type"), html.alias("html"), "page"))
 
 
@@ -498,29 +499,29 @@ def lib_checkpoint(spark, sf):
 # ---- selections ----
 
 
-@query(f"""WITH a AS ({ad.entries_sql(3)}), b AS ({ad.entries_sql(5)}), n AS (SELECT b.*, lower(replace(doi, 'https://doi.org/', '')) AS bare FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.item_key = b.item_key OR a.entity_id = b.entity_id OR a.doi = b.doi)),
+@query(f"""WITH a AS ({ad.entries_sql(1)}), b AS ({ad.entries_sql(3)}), n AS (SELECT b.*, lower(replace(doi, 'https://doi.org/', '')) AS bare FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.item_key = b.item_key OR a.entity_id = b.entity_id OR a.doi = b.doi)),
   f AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY entry) AS x, row_number() OVER (PARTITION BY entity_id ORDER BY entry) AS y, row_number() OVER (PARTITION BY bare ORDER BY entry) AS z FROM n)
   SELECT entry FROM a UNION ALL SELECT entry FROM f WHERE (item_key IS NULL OR x = 1) AND (entity_id IS NULL OR y = 1) AND (bare IS NULL OR z = 1)""")
 def sel_merge(spark, sf):
-    return selection.merged(ad.entries(spark, sf, 3), ad.entries(spark, sf, 5), "entry").select("entry")
+    return selection.merged(ad.entries(spark, sf, 1), ad.entries(spark, sf, 3), "entry").select("entry")
 
 
-@query(f"WITH a AS ({ad.entries_sql(2)}) SELECT entry FROM a WHERE NOT coalesce(contains(lower(title), 'the'), false)")
+@query(f"WITH a AS ({ad.entries_sql(1)}) SELECT entry FROM a WHERE NOT coalesce(contains(lower(title), 'the'), false)")
 def sel_remove(spark, sf):
-    return selection.removed(ad.entries(spark, sf, 2), "the").select("entry")
+    return selection.removed(ad.entries(spark, sf, 1), "the").select("entry")
 
 
-@query(f"WITH a AS ({ad.entries_sql(2)}) SELECT count(*)::BIGINT AS entries, count(*) FILTER (entity_id IN (SELECT 'W' || doc_id FROM documents WHERE doc_id % 4 = 0))::BIGINT AS in_index, count(item_key)::BIGINT AS in_library FROM a")
+@query(f"WITH a AS ({ad.entries_sql(1)}) SELECT count(*)::BIGINT AS entries, count(*) FILTER (entity_id IN (SELECT 'W' || (doc_id * 4) FROM documents))::BIGINT AS in_index, count(item_key)::BIGINT AS in_library FROM a")
 def sel_status(spark, sf):
-    indexed = ad.table(spark, sf, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("W"), "doc_id").alias("paper_id"))
-    return selection.status_counts(selection.status(ad.entries(spark, sf, 2), indexed))
+    indexed = ad.table(spark, sf, "documents").select(F.concat(F.lit("W"), F.col("doc_id") * 4).alias("paper_id"))
+    return selection.status_counts(selection.status(ad.entries(spark, sf, 1), indexed))
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang, source FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, 'x' AS lang, 'y' AS source FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang, source FROM documents) a FULL JOIN (SELECT doc_id * 3 AS doc_id, 'x' AS lang, 'y' AS source FROM documents) b ON a.doc_id = b.doc_id")
 def sel_coalesce(spark, sf):
     d = ad.table(spark, sf, "documents")
-    mine = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"), "source")
-    return selection.filled(mine, d.where("doc_id % 3 = 0").select("doc_id", F.lit("x").alias("lang"), F.lit("y").alias("source")), "doc_id", ["lang", "source"])
+    mine = d.select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"), "source")
+    return selection.filled(mine, d.select((F.col("doc_id") * 3).alias("doc_id"), F.lit("x").alias("lang"), F.lit("y").alias("source")), "doc_id", ["lang", "source"])
 
 
 @query("SELECT doc_id AS entry, unnest(list_filter([CASE WHEN doc_id % 2 = 1 THEN 'create item' END, CASE WHEN doc_id % 3 <> 0 THEN 'upload file' END, CASE WHEN doc_id % 5 <> 0 THEN 'add to index' END], lambda x: x IS NOT NULL)) AS action FROM documents")
@@ -603,11 +604,11 @@ def numeric_summary(spark, sf):
     return rows.withColumns({"median": F.round("median", 6), "deviation": F.round("deviation", 6)})
 
 
-_HEADS = f"{ad.SECTIONS}, h AS (SELECT doc, (page * 1000 + seq) AS seq, (1 + seq % 3)::INT AS depth, length(text) AS chars FROM sections WHERE page < 4)"
+_HEADS = f"{ad.SECTIONS}, h AS (SELECT doc, (page * 1000 + seq) AS seq, (1 + seq % 3)::INT AS depth, length(text) AS chars FROM sections)"
 
 
 def _heads(spark, sf):
-    return ad.sections(spark, sf).where("page < 4").select("doc", (F.col("page") * 1000 + F.col("seq")).alias("seq"), (1 + F.col("seq") % 3).alias("depth"), F.length("text").alias("chars"))
+    return ad.sections(spark, sf).select("doc", (F.col("page") * 1000 + F.col("seq")).alias("seq"), (1 + F.col("seq") % 3).alias("depth"), F.length("text").alias("chars"))
 
 
 @query(f"WITH {_HEADS} SELECT a.doc, a.seq, max(b.seq) AS parent_seq FROM h a LEFT JOIN h b ON a.doc = b.doc AND b.seq < a.seq AND b.depth < a.depth GROUP BY a.doc, a.seq")
@@ -634,10 +635,21 @@ def contained_visuals(spark, sf):
     return layout.contained_visuals(ad.regions(spark, sf))
 
 
-@query(f"WITH {ad.REGIONS} SELECT a.doc, a.page, a.id AS a_id, b.id AS b_id, round({_BOTH}, 4) AS shared, round(sqrt(pow(greatest(a.x1 - b.x2, b.x1 - a.x2, 0), 2) + pow(greatest(a.y1 - b.y2, b.y1 - a.y2, 0), 2)), 4) AS distance FROM regions a JOIN regions b ON a.doc = b.doc AND a.page = b.page AND a.id < b.id")
+@query(f"WITH {ad.REGIONS} SELECT a.doc, a.page, a.id AS a_id, b.id AS b_id, round({_BOTH}, 4) AS shared FROM regions a JOIN regions b ON a.doc = b.doc AND a.page = b.page AND a.id < b.id AND {_BOTH} > 0")
 def box_overlap(spark, sf):
-    a, b = boxes.box("a_"), boxes.box("b_")
-    return layout.pairs(ad.regions(spark, sf)).select("doc", "page", "a_id", "b_id", F.round(boxes.intersection(a, b), 4).alias("shared"), F.round(boxes.edge_distance(a, b), 4).alias("distance"))
+    """Boxes of a page that share area."""
+    return layout.meeting_pairs(ad.regions(spark, sf)).select("doc", "page", "a_id", "b_id", F.round(boxes.intersection(boxes.box("a_"), boxes.box("b_")), 4).alias("shared"))
+
+
+_NEXT_BOX = f"{ad.REGIONS}, p AS (SELECT *, lead(id) OVER w AS nid, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2 FROM regions WINDOW w AS (PARTITION BY doc, page ORDER BY id, x1, y1, x2, y2))"
+
+
+@query(f"WITH {_NEXT_BOX} SELECT doc, page, id, round(sqrt(pow(greatest(x1 - nx2, nx1 - x2, 0), 2) + pow(greatest(y1 - ny2, ny1 - y2, 0), 2)), 4) AS distance FROM p WHERE nid IS NOT NULL")
+def box_distance(spark, sf):
+    """The distance of each box from the next one of its page."""
+    w = Window.partitionBy("doc", "page").orderBy("id", "x1", "y1", "x2", "y2")
+    rows = ad.regions(spark, sf).select("*", *[F.lead(c).over(w).alias(f"n_{c}") for c in ("id", "x1", "y1", "x2", "y2")]).where("n_id is not null")
+    return rows.select("doc", "page", "id", F.round(boxes.edge_distance(boxes.box(), boxes.box("n_")), 4).alias("distance"))
 
 
 @query(f"WITH {ad.REGIONS} SELECT DISTINCT t.doc, t.page, t.id FROM regions t JOIN regions o ON t.doc = o.doc AND t.page = o.page WHERE t.kind = 'Text' AND o.kind IN ('Image', 'Chart', 'Seal', 'PageHeader') AND t.x1 >= o.x1 - 1 AND t.y1 >= o.y1 - 1 AND t.x2 <= o.x2 + 1 AND t.y2 <= o.y2 + 1")
@@ -665,16 +677,19 @@ def figure_groups(spark, sf):
 
 @query()
 def toc_entries(spark, sf):
-    """Contents pages made of documents' first lines, parsed."""
-    rows = ad.sections(spark, sf).where("seq = 0").select("doc", F.col("page").alias("seq"), F.concat(F.col("page") + 1, F.lit(" "), F.regexp_replace(F.substring("text", 1, 30), r"[^\p{L} ]", ""), F.lit(" ......... "), F.col("page") * 7 + 1).alias("text"))
+    """Contents pages made of documents' lines, parsed."""
+    at = F.col("page") * 1000 + F.col("seq")
+    rows = ad.sections(spark, sf).select("doc", at.alias("seq"), F.concat(at + 1, F.lit(" "), F.regexp_replace("text", r"[^\p{L} ]", ""), F.lit(" ......... "), at % 500 + 1).alias("text"))
     return toc.entries(rows)
 
 
-_TOC = f"{ad.SECTIONS}, toc AS (SELECT doc, page AS seq, (1 + page % 3)::INT AS depth, 'Title ' || chr(65 + page) AS title, (page * 5 + 1)::INT AS page_value FROM sections WHERE seq = 0)"
+_TOC = f"{ad.SECTIONS}, toc AS (SELECT doc, page * 1000 + seq AS seq, (1 + (page + seq) % 3)::INT AS depth, 'Title ' || chr(65 + page) || ' ' || seq AS title, (page * 1000 + seq + 1)::INT AS page_value FROM sections)"
 
 
 def _toc(spark, sf):
-    return ad.sections(spark, sf).where("seq = 0").select("doc", F.col("page").alias("seq"), (1 + F.col("page") % 3).alias("depth"), F.concat(F.lit("Title "), F.chr(F.lit(65) + F.col("page"))).alias("title"), (F.col("page") * 5 + 1).alias("page_value"))
+    page, seq = F.col("page"), F.col("seq")
+    at = page * 1000 + seq
+    return ad.sections(spark, sf).select("doc", at.alias("seq"), (1 + (page + seq) % 3).alias("depth"), F.concat(F.lit("Title "), F.chr(F.lit(65) + page), F.lit(" "), seq).alias("title"), (at + 1).cast("int").alias("page_value"))
 
 
 @query(f'WITH {_TOC} SELECT doc, 4::INT AS "offset", count(*)::BIGINT AS votes FROM toc WHERE seq % 4 <> 1 GROUP BY doc')
@@ -800,20 +815,20 @@ def abstract_duplicates(spark, sf):
     return layout.abstract_duplicates(t.unionByName(a))
 
 
-@query(f"""WITH {ad.REGIONS} SELECT doc, page, id, string_agg(ch, '' ORDER BY seq) AS text FROM (SELECT r.doc, r.page, r.id, g.l_linenumber AS seq, chr(65 + g.l_linenumber) AS ch FROM regions r JOIN lineitem g ON r.doc = 'd' || (g.l_orderkey // 400) AND r.page = ((g.l_orderkey // 20) % 20) AND r.kind = 'Table' AND g.l_orderkey % 20 = 1
+@query(f"""WITH {ad.REGIONS} SELECT doc, page, id, string_agg(ch, '' ORDER BY seq) AS text FROM (SELECT r.doc, r.page, r.id, g.l_linenumber AS seq, chr(65 + g.l_linenumber) AS ch FROM regions r JOIN lineitem g ON r.doc = 'd' || (g.l_orderkey // 400) AND r.page = ((g.l_orderkey // 20) % 20) AND r.kind = 'Table'
   AND (g.l_linenumber * 60 + 5) BETWEEN r.x1 AND r.x2 AND (g.l_linenumber * 90 + 5) BETWEEN r.y1 AND r.y2) GROUP BY ALL""")
 def glyphs_in_regions(spark, sf):
-    g = ad.table(spark, sf, "lineitem").where("l_orderkey % 20 = 1")
+    g = ad.table(spark, sf, "lineitem")
     n = F.col("l_linenumber")
     glyphs = g.select(F.concat(F.lit("d"), F.floor(F.col("l_orderkey") / 400)).alias("doc"), F.floor(F.col("l_orderkey") / 20 % 20).cast("int").alias("page"), n.alias("seq"), F.chr(65 + n).alias("char"), (n * 60).alias("gx1"), (n * 60 + 10).alias("gx2"), (n * 90).alias("gy1"), (n * 90 + 10).alias("gy2"))
     return layout.glyphs_in_regions(glyphs, ad.regions(spark, sf).where("kind = 'Table'"))
 
 
-@query(f"""WITH {ad.SECTIONS}, r AS (SELECT doc, page, CASE seq WHEN 0 THEN 'the head' ELSE 'line of ' || chr(97 + seq % 26) END AS key, 10.0 + seq * 100 AS y1 FROM sections WHERE seq < 7), e AS (
+@query(f"""WITH {ad.SECTIONS}, r AS (SELECT doc, page, CASE seq WHEN 0 THEN 'the head' ELSE 'line of ' || chr(97 + seq % 26) END AS key, 10.0 + seq * 100 AS y1 FROM sections), e AS (
   SELECT doc, page, key FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y1) AS n FROM r) WHERE n = 1 UNION ALL SELECT doc, page, key FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y1 DESC) AS n FROM r) WHERE n = 1 UNION ALL SELECT doc, page, key FROM r WHERE y1 < 96 OR y1 + 10 > 680)
   SELECT doc, key, count(*)::BIGINT AS times FROM e GROUP BY doc, key HAVING count(*) >= 4""")
 def running_headers(spark, sf):
-    s = ad.sections(spark, sf).where("seq < 7")
+    s = ad.sections(spark, sf)
     y = 10.0 + F.col("seq") * 100
     rows = s.select("doc", "page", F.when(F.col("seq") == 0, "The Head 12").otherwise(F.concat(F.lit("line of "), F.chr(97 + F.col("seq") % 26))).alias("text"), y.alias("y1"), (y + 10).alias("y2"), F.lit(50.0).alias("x1"), F.lit(90.0).alias("x2"), F.lit(800.0).alias("height"), F.lit(600.0).alias("width"))
     return crosspage.running_headers(rows)
@@ -837,10 +852,10 @@ def inferred_depths(spark, sf):
     return crosspage.inferred_depths(_nodes(spark, sf)).select("doc", "seq", F.col("depth").cast("int").alias("depth"))
 
 
-@query(f"""WITH {ad.SECTIONS}, h AS (SELECT doc, page, 1 AS depth, seq, 'part ' || seq AS text, seq % 3 = 0 AS starts FROM sections WHERE seq < 9), p AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc, page ORDER BY seq) AS part FROM h)
+@query(f"""WITH {ad.SECTIONS}, h AS (SELECT doc, page, 1 AS depth, seq, 'part ' || seq AS text, seq % 3 = 0 AS starts FROM sections), p AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc, page ORDER BY seq) AS part FROM h)
   SELECT doc, page, depth::INT AS depth, min(seq)::INT AS seq, string_agg(text, ' ' ORDER BY seq) AS text FROM p GROUP BY doc, page, depth, part""")
 def merged_headings(spark, sf):
-    s, seq = ad.sections(spark, sf).where("seq < 9"), F.col("seq")
+    s, seq = ad.sections(spark, sf), F.col("seq")
     y = seq * 12.0 + F.floor(seq / 3) * 50
     return reflow.merged_headings(s.select("doc", "page", F.lit(1).alias("depth"), "seq", F.concat(F.lit("part "), "seq").alias("text"), y.alias("y1"), (y + 10).alias("y2"), F.lit(10.0).alias("height")))
 
@@ -924,7 +939,7 @@ def front_matter_collapse(spark, sf):
     return page_lines.collapsed_front_matter(rows, ["preface"]).select("doc", "seq")
 
 
-@query(f"WITH {_TOC}, b AS (SELECT doc, page, unnest([0, 1, 2]) AS block, page AS n FROM sections WHERE seq = 0) SELECT t.doc, t.seq, min(block)::INT AS block FROM toc t JOIN b ON b.doc = t.doc AND b.page = t.seq AND b.block > 0 GROUP BY t.doc, t.seq")
+@query(f"WITH {_TOC}, b AS (SELECT doc, page * 1000 + seq AS page, unnest([0, 1, 2]) AS block FROM sections) SELECT t.doc, t.seq, min(block)::INT AS block FROM toc t JOIN b ON b.doc = t.doc AND b.page = t.seq AND b.block > 0 GROUP BY t.doc, t.seq")
 def contents_anchors(spark, sf):
     t = _toc(spark, sf)
     b = t.select("doc", F.col("seq").alias("page"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("block"), F.upper("title").alias("title"))

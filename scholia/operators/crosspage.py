@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Pages on which text repeats to count as running; lengths in bytes; shares of the page that are margin.
 PAGES, SECTION_BYTES, PARAGRAPH_BYTES, STAMP_CHARS = 3, (3, 150), (10, 150), (3, 80)
 TOP, BOTTOM, SIDE = 0.12, 0.85, 0.18
@@ -97,16 +99,8 @@ def heading_levels(fonts: DataFrame, pages: DataFrame, most: int = 10) -> DataFr
 
 
 def contained_characters(headings: DataFrame, segments: DataFrame) -> DataFrame:
-    """doc, seq, chars of what stands under each heading up to the next of the same or a smaller depth.
-
-    Prefix sums over the segments: what a heading contains is the difference of two.
-    """
-    w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    sums = segments.withColumn("upto", F.sum("chars").over(w))
-    ends = headings.alias("a").join(headings.alias("b"), (F.col("a.doc") == F.col("b.doc")) & (F.col("b.seq") > F.col("a.seq")) & (F.col("b.depth") <= F.col("a.depth")), "left")
-    ends = ends.groupBy(F.col("a.doc").alias("doc"), F.col("a.seq").alias("seq")).agg(F.min("b.seq").alias("next_seq"))
-    rows = ends.join(sums.select("doc", F.col("seq").alias("s"), "chars", "upto"), "doc").where((F.col("s") > F.col("seq")) & (F.col("next_seq").isNull() | (F.col("s") < F.col("next_seq"))))
-    return rows.groupBy("doc", "seq").agg((F.max("upto") - F.min(F.col("upto") - F.col("chars"))).alias("chars"))
+    """doc, seq, chars of what stands under each heading up to the next of the same or a smaller depth: one pass in order."""
+    return ordered.contents(headings, segments)
 
 
 def repeated_headings(headings: DataFrame, least: int = 3) -> DataFrame:
@@ -149,10 +143,8 @@ def inferred_depths(headings: DataFrame) -> DataFrame:
 
 
 def tree_parents(headings: DataFrame) -> DataFrame:
-    """doc, seq, parent_seq: the last heading before with a smaller depth."""
-    a, b = headings.alias("a"), headings.alias("b")
-    rows = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("b.seq") < F.col("a.seq")) & (F.col("b.depth") < F.col("a.depth")), "left")
-    return rows.groupBy(F.col("a.doc").alias("doc"), F.col("a.seq").alias("seq")).agg(F.max("b.seq").alias("parent_seq"))
+    """doc, seq, parent_seq: the last heading before with a smaller depth, in one pass in order."""
+    return ordered.nested(headings.withColumn("value", F.lit(None).cast("int"))).select("doc", "seq", "parent_seq")
 
 
 def numeric_summary(rows: DataFrame, kind: str, value: str) -> DataFrame:

@@ -24,9 +24,23 @@ def pairs(regions: DataFrame) -> DataFrame:
     return side("a_").join(side("b_"), PAGE).where("a_id < b_id")
 
 
+def meeting_pairs(regions: DataFrame, cell: float = 100.0) -> DataFrame:
+    """As ``pairs``, of boxes that share area: boxes meet in cells of a grid, and a pair is named by the first cell both lie in.
+
+    The work follows what meets, not the square of a page; a box over many cells stands in each of them.
+    """
+    place = lambda c: F.floor(F.col(c) / cell)
+    cells = regions.where("x2 > x1 and y2 > y1").withColumns({"cx": F.explode(F.sequence(place("x1"), place("x2")))}).withColumn("cy", F.explode(F.sequence(place("y1"), place("y2"))))
+    keys = [*PAGE, "cx", "cy"]
+    side = lambda p: cells.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in regions.columns if c not in PAGE])
+    both = side("a_").join(side("b_"), keys).where("a_id < b_id")
+    first = (F.col("cx") == F.floor(F.greatest("a_x1", "b_x1") / cell)) & (F.col("cy") == F.floor(F.greatest("a_y1", "b_y1") / cell))
+    return both.where(first & (boxes.intersection(boxes.box("a_"), boxes.box("b_")) > 0)).drop("cx", "cy")
+
+
 def contained_visuals(regions: DataFrame, share: float = 0.5) -> DataFrame:
     """doc, page, id of visuals of which more than half lies in a larger one; of two equal ones the less confident goes."""
-    both = pairs(regions.where(F.col("kind").isin(VISUAL_KINDS)))
+    both = meeting_pairs(regions.where(F.col("kind").isin(VISUAL_KINDS)))
     a, b = boxes.box("a_"), boxes.box("b_")
     hit = both.where(boxes.overlap_of_smaller(a, b) > share)
     first = (boxes.area(a) < boxes.area(b)) | ((boxes.area(a) == boxes.area(b)) & ((F.col("a_confidence") < F.col("b_confidence"))))

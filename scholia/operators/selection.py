@@ -32,12 +32,17 @@ def absent(entries: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def first_of_each(entries: DataFrame, order: str) -> DataFrame:
-    """Entries of which no earlier one, by ``order``, has the same value of any key."""
+    """Entries of which no earlier one, by ``order``, has the same value of any key.
+
+    Each key's first entry is a grouped minimum; entries without the key are not shuffled by it, as they
+    would all meet in one task.
+    """
     rows = with_keys(entries)
     for key in KEYS:
-        w = Window.partitionBy(key).orderBy(order)
-        rows = rows.withColumn(f"n_{key}", F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(w)))
-    return rows.where(" and ".join(f"n_{k} = 1" for k in KEYS)).select(entries.columns)
+        first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"))
+        held = rows.where(F.col(key).isNotNull()).join(first, key).withColumn(f"n_{key}", F.col(order) == F.col("first"))
+        rows = held.select(*rows.columns, f"n_{key}").unionByName(rows.where(F.col(key).isNull()).withColumn(f"n_{key}", F.lit(True)))
+    return rows.where(" and ".join(f"n_{k}" for k in KEYS)).select(entries.columns)
 
 
 def merged(target: DataFrame, source: DataFrame, order: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Words that name front and back matter.
 FRONT = "preface foreword acknowledgments acknowledgements dedication contents introduction prologue abstract notation abbreviations"
 BACK = "references bibliography index glossary appendices afterword epilogue notes"
@@ -105,11 +107,9 @@ def page_offsets(toc: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def section_ranges(toc: DataFrame, last_page: int) -> DataFrame:
-    """doc, seq, page_from, page_to of each entry: up to the next of the same or a smaller depth."""
-    a, b = toc.alias("a"), toc.alias("b")
-    rows = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("b.seq") > F.col("a.seq")) & (F.col("b.depth") <= F.col("a.depth")), "left")
-    ends = rows.groupBy(F.col("a.doc").alias("doc"), F.col("a.seq").alias("seq"), F.col("a.page_value").alias("page_from")).agg(F.min_by("b.page_value", "b.seq").alias("next"))
-    return ends.select("doc", "seq", "page_from", F.coalesce(F.greatest(F.col("next") - 1, F.col("page_from")), F.lit(last_page)).alias("page_to"))
+    """doc, seq, page_from, page_to of each entry: up to the next of the same or a smaller depth, in one pass in order."""
+    rows = ordered.nested(toc.select("doc", "seq", "depth", F.col("page_value").alias("value"))).withColumnRenamed("value", "page_from")
+    return rows.select("doc", "seq", "page_from", F.coalesce(F.greatest(F.col("next_value") - 1, F.col("page_from")), F.lit(last_page)).alias("page_to"))
 
 
 def rendered(rows: DataFrame) -> DataFrame:
