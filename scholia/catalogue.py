@@ -761,16 +761,48 @@ def first_notes(spark, sf):
     return reflow.first_notes(d.select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20)).alias("doc"), F.when(F.col("doc_id") % 4 == 0, "").otherwise((F.col("doc_id") % 6).cast("string")).alias("marker"), F.col("doc_id").alias("seq")))
 
 
-@query("SELECT doc_id, ['figure', NULL, 'proof', NULL, 'thm.'][doc_id % 5 + 1] AS label FROM documents")
+_LABELLED = "['Figure 3: ', 'Fig 12 ', 'Proof. ', 'figment of ', 'Thm. 2 ', ' Table iv) ', 'Lemma', 'ALG. 7.1a. ', 'Code 9 ', 'Tip '][doc_id % 10 + 1] || split_part(text, chr(10), 1 + (doc_id % 3)::INT)"
+_WORDS = "|".join(w.replace(".", "[.]") for w in repair.VISUAL_LABELS + repair.STATEMENT_LABELS)
+_VISUAL = ", ".join(f"'{w}'" for w in repair.VISUAL_LABELS)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_LABELLED} AS text FROM documents), w AS (SELECT *, lower(ltrim(text)) AS low, regexp_extract(lower(ltrim(text)), '^({_WORDS})($|[ .:0-9-])', 1) AS word FROM t), r AS (SELECT *, trim(substr(low, length(word) + 1)) AS rest FROM w)
+  SELECT doc_id, CASE WHEN word <> '' AND CASE WHEN word IN ({_VISUAL}) THEN regexp_matches(rest, '^[.:]?\s*[0-9ivxlc]+([.][0-9]+)*[a-z]?\s*[.:)*]') OR (length(rest) < 80 AND regexp_matches(rest, '^[.:]?\s*[0-9]')) ELSE rest <> '' OR length(trim(text)) < 80 END THEN word END AS label FROM r""")
 def fn_label(spark, sf):
-    forms = F.array(*[F.lit(x) for x in ("Figure 3: what it shows", "Figure 12 shows a long case of prose that goes on and on, well past eighty letters, about the figure", "Proof", "figment of nothing", "Thm. 2 holds")])
-    return ad.table(spark, sf, "documents").select("doc_id", repair.label(F.get(forms, (F.col("doc_id") % 5).cast("int"))).alias("label"))
+    """Lines of documents behind openings that are labels or look like them."""
+    forms = F.array(*[F.lit(x) for x in ("Figure 3: ", "Fig 12 ", "Proof. ", "figment of ", "Thm. 2 ", " Table iv) ", "Lemma", "ALG. 7.1a. ", "Code 9 ", "Tip ")])
+    n = F.col("doc_id")
+    line = F.concat(F.get(forms, (n % 10).cast("int")), F.split_part("text", F.lit("\n"), (1 + n % 3).cast("int")))
+    return ad.table(spark, sf, "documents").select("doc_id", repair.label(line).alias("label"))
+
+
+_LIGATURES = "CASE WHEN regexp_matches({0}, 'fifi|flfl|ffff') THEN replace(replace(replace(replace(replace({0}, 'ffiffi', 'ffi'), 'fflffl', 'ffl'), 'fifi', 'fi'), 'flfl', 'fl'), 'ffff', 'ff') ELSE {0} END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, strlen(text) AS size, length(text) - length(replace(text, ' ', '')) AS spaces, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters FROM documents),
+  c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN size >= 51 AND spaces >= 5 AND NOT contains(text, '\') AND (letters + spaces) / size >= 0.7 THEN 'P' || text WHEN size > 50 AND spaces < 5 AND letters / size > 0.8 THEN 'P' || regexp_replace(text, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g')
+    ELSE 'P^{{' || text || '}}' END WHEN 1 THEN replace(text, 'ti', 'fifi') WHEN 2 THEN text || ' x ' ELSE text END AS text FROM d)
+  SELECT doc_id, {_LIGATURES.format('text')} AS text FROM c""")
+def fn_clean_block(spark, sf):
+    """Documents as formulas, with doubled ligatures, with production marks, and twice over."""
+    n, t = F.col("doc_id") % 4, F.col("text")
+    raw = F.when(n == 0, F.concat(F.lit("P^{"), t, F.lit("}"))).when(n == 1, F.replace(t, F.lit("ti"), F.lit("fifi"))).when(n == 2, F.concat(t, F.lit(" x 53292_ch08.indd 206 9/14/17 10:10 AM"))).otherwise(F.concat(t, F.lit("\n\n"), t))
+    return ad.table(spark, sf, "documents").select("doc_id", repair.clean_block(raw).alias("text"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, string_split(replace(text, 'e', chr(321)), '') AS c FROM documents)
+  SELECT doc_id, array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] = chr(321) AND i > 1 AND i < len(c) AND regexp_matches(c[i - 1], '[\p{L}\p{N}]') AND regexp_matches(c[i + 1], '[\p{L}\p{N}]') THEN chr(8217) ELSE c[i] END), '') || ' ' || chr(8217) || 's ' || chr(8220) || 'q' || chr(8221) AS text FROM d""")
+def fn_mojibake(spark, sf):
+    """Documents with every e as the letter that stands for an apostrophe, and wrongly coded quotation marks behind."""
+    t = F.concat(F.replace("text", F.lit("e"), F.lit("\u0141")), F.lit(" \u00e2\u0141\u2122s \u00e2\u0141\u201cq\u00e2\u0141\u201d"))
+    return ad.table(spark, sf, "documents").select("doc_id", repair.without_mojibake(t).alias("text"))
 
 
-@query("SELECT doc_id, 'Once upon a well-set time in ' || lang AS text FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, ' der ', 'd-' || chr(10) || 'x'), '(\p{Ll})-\n(\p{Ll})', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g')) AS text FROM documents")
 def fn_repairs(spark, sf):
-    raw = F.concat(F.lit("O nce  up-\non a well-set\ntime in "), "lang")
-    return ad.table(spark, sf, "documents").select("doc_id", repair.single_spaces(repair.joined_hyphens(repair.drop_cap(raw))).alias("text"))
+    """Documents with words cut at line ends, joined into one line."""
+    raw = F.replace("text", F.lit(" der "), F.lit("d-\nx"))
+    return ad.table(spark, sf, "documents").select("doc_id", repair.single_spaces(repair.joined_hyphens(raw)).alias("text"))
 
 
 @query("SELECT c_custkey, c_custkey % 2 = 0 AS same FROM customer")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import distinct_paragraphs, single_ligatures, without_production_marks
+
 #: Label words of captions and of mathematical statements, each before its short forms.
 VISUAL_LABELS = ["figure", "fig.", "fig", "table", "tab.", "tab", "tbl.", "algorithm", "alg.", "alg", "listing", "pseudocode", "procedure", "code", "plate", "scheme", "chart", "graph", "diagram"]
 STATEMENT_LABELS = [
     "definition", "defn.", "def.", "proposition", "prop.", "corollary", "corol.", "cor.", "conjecture", "conj.", "assumption", "observation", "theorem", "thm.", "example", "ex.", "exercise", "property",
     "remark", "rem.", "lemma", "lem.", "claim", "axiom", "proof", "tip",
 ]
-#: UTF-8 read as Latin-1, and what was meant.
-MOJIBAKE = {"â€™": "’", "â€œ": "“", "â€“": "–", "â€”": "—", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä"}
+#: Quotation marks as some fonts' encodings give them, and what was meant.
+MOJIBAKE = {"\u00e2\u0141\u2122": "\u2019", "\u00e2\u0141\u201c": "\u201c", "\u00e2\u0141\u201d": "\u201d"}
+#: Bytes of a formula, and of what it raises, from which it may be a drop cap; spaces of prose; least shares of letters.
+DROP_CAP_BYTES, RAISED_BYTES, PROSE_SPACES, PROSE_SHARE, RUN_SHARE = 55, 50, 5, 0.7, 0.8
 #: Hosts whose files may be fetched directly.
 DIRECT_HOSTS = ["arxiv.org", "europepmc.org", "biorxiv.org", "medrxiv.org", "ncbi.nlm.nih.gov", "peerj.com", "mdpi.com", "frontiersin.org", "plos.org"]
 
@@ -36,14 +40,34 @@ def label(text: Column) -> Column:
 
 
 def drop_cap(text: Column) -> Column:
-    """A large first letter set apart from its word, joined again."""
-    return F.regexp_replace(text, r"^([B-HJ-Z])\s+(\p{Ll}{2,})", "$1$2")
+    """The paragraph that a formula such as ``P^{hysics is...}`` was before its first letter was taken for a base; null if it is a formula.
+
+    What is raised or lowered is prose if it is long, has spaces and hardly anything but letters, and no
+    command; without spaces it is one run of words, which are set apart at their capitals.
+    """
+    whole = F.trim(text)
+    raised = F.regexp_extract(whole, r"^(?s)[A-Z][\^_]\{(.*)\}", 1)
+    size, letters = F.octet_length(raised), F.length(F.regexp_replace(raised, r"[^\p{IsAlphabetic}]", ""))
+    spaces = F.length(raised) - F.length(F.replace(raised, F.lit(" "), F.lit("")))
+    apart = F.regexp_replace(raised, r"(?<=\p{IsLowercase})(?=\p{IsUppercase})", " ")
+    prose = (spaces >= PROSE_SPACES) & ~F.contains(raised, F.lit("\\")) & ((letters + spaces) / size >= PROSE_SHARE)
+    run = (spaces < PROSE_SPACES) & (size > RAISED_BYTES) & (letters / size > RUN_SHARE)
+    found = F.when(prose, raised).when(run, apart)
+    return F.when((F.octet_length(whole) >= DROP_CAP_BYTES) & (size >= RAISED_BYTES), F.concat(F.substring(whole, 1, 1), found))
 
 
 def without_mojibake(text: Column) -> Column:
+    """Quotation marks set right; a lone \u0141 between letters or digits is an apostrophe."""
     for wrong, right in MOJIBAKE.items():
         text = F.replace(text, F.lit(wrong), F.lit(right))
-    return text
+    return F.regexp_replace(text, "(?<=[\\p{IsAlphabetic}\\p{N}])\u0141(?=[\\p{IsAlphabetic}\\p{N}])", "\u2019")
+
+
+def clean_block(text: Column) -> Column:
+    """A block's text after all its repairs, in their order: drop cap, doubled ligatures, production marks, repeated paragraphs."""
+    formula = F.contains(text, F.lit("^{")) | F.contains(text, F.lit("_{"))
+    text = F.when(formula, F.coalesce(drop_cap(text), text)).otherwise(text)
+    return distinct_paragraphs(without_production_marks(single_ligatures(text)))
 
 
 def single_spaces(text: Column) -> Column:

@@ -10,6 +10,7 @@ PREVIEW, PREVIEW_MOST, TOKENS_PER_WORD = 120, 300, 1.3
 FIGURE = ["figure", "fig", "figures", "figs"]
 TABLE = ["table", "tab", "tables", "tabs"]
 ALGORITHM = ["algorithm", "alg", "algorithms", "algs", "procedure", "procedures", "pseudocode", "pseudocodes", "listing", "listings", "code", "codes"]
+#: Patterns of a caption's number and of mentions, and of an algorithm's header.
 CAPTION = r"(?i)(Figure|Fig|Table|Tab|Algorithm|Alg|Procedure|Pseudocode|Listing|Code)\s*\.?\s+(\d+)"
 MENTIONS = {
     "figure": r"(?i)(?:Figures?|Figs?)\s*\.?\s+(\d+)",
@@ -29,8 +30,9 @@ ITEM_TYPES = {
     "standard": ["standard"],
     "conferencePaper": ["proceedings-article", "proceedings", "conference-paper"],
 }
-#: Ligatures that extraction doubles, longest first.
-LIGATURES = [("ffiffi", "ffi"), ("fflffl", "ffl"), ("ffff", "ff"), ("fifi", "fi"), ("flfl", "fl")]
+#: Ligatures that extraction doubles, in the order in which they are mended, and those that show that a text has any.
+LIGATURES = [("ffiffi", "ffi"), ("fflffl", "ffl"), ("fifi", "fi"), ("flfl", "fl"), ("ffff", "ff")]
+SIGNS = ["fifi", "flfl", "ffff"]
 
 
 def words(text: Column) -> Column:
@@ -133,14 +135,16 @@ def short_id(full: Column) -> Column:
 
 
 def single_ligatures(text: Column) -> Column:
+    """Doubled ligatures made single, in texts that show a sign of them."""
+    mended = text
     for double, single in LIGATURES:
-        text = F.replace(text, F.lit(double), F.lit(single))
-    return text
+        mended = F.replace(mended, F.lit(double), F.lit(single))
+    return F.when(text.rlike("|".join(SIGNS)), mended).otherwise(text)
 
 
 def without_production_marks(text: Column) -> Column:
     """Without the file, date and time that layout programs print."""
-    return F.trim(F.regexp_replace(text, r"\S*\.indd[0-9/: APM]*", ""))
+    return F.regexp_replace(text, r"\S*\.indd[0-9/: APM]*", "")
 
 
 def distinct_paragraphs(text: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia import schemas
-from scholia.functions import code, formula, tables, text
+from scholia.functions import code, formula, repair, tables, text
 from scholia.operators import blocks as page_lines
 from scholia.operators import ann, catalog, crosspage, filters, ingest, layout, library, reflow, selection, toc, vector
 from scholia.plans import dsl
@@ -44,7 +44,7 @@ def test_text_functions(spark):
     assert one(text.distinct_paragraphs, "a\n\na\n\nb") == "a\n\nb"
     assert one(text.doubled_characters, "HHeelllloo wwoorrlldd") == "Hello world" and one(text.doubled_characters, "hello world") == "hello world"
     assert one(text.single_ligatures, "eﬃ fifind flflow") == "eﬃ find flow"
-    assert one(text.without_production_marks, "Body p.indd 12/3/04 10:22 AM") == "Body"
+    assert one(text.without_production_marks, "Body p.indd 12/3/04 10:22 AM") == "Body "
     assert one(text.heading_level, "<h3>x</h3>") == 3 and one(text.heading_level, "<p>") == 6
     assert [tuple(x) for x in one(text.mentions, "Table 2, Figs. 3 and fig. 3; Listing 9")] == [("figure", 3), ("table", 2), ("algorithm", 9)]
     assert tuple(one(text.caption_key, "Tab. 7: what")) == ("table", 7) and one(text.caption_key, "no") is None
@@ -55,6 +55,26 @@ def test_text_functions(spark):
     assert m == "a b a"
 
 
+LONG = "hysics is a hot topic in computer animation and has been for many years"
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ("P^{" + LONG + "}", "P" + LONG), (" W_{" + LONG + "} ", "W" + LONG), ("P^{short}", None), ("p^{" + LONG + "}", None), ("P{" + LONG + "}", None), ("P^{" + LONG.replace("hot", r"\\hot") + "}", None),
+    ("P^{" + "1 2 3 + 4 5 6 = 7 8 9 " * 4 + "}", None), ("B^{" + "eforeweLookAtSimulatingthePhysicsOfparticlesinAnimation" + "}", "Beforewe Look At Simulatingthe Physics Ofparticlesin Animation"), ("B^{" + "x+1" * 20 + "}", None), ("", None), (None, None),
+])
+def test_drop_caps(spark, raw, want):
+    assert spark.createDataFrame([(raw,)], "t string").select(repair.drop_cap(F.col("t"))).head()[0] == want
+
+
+def test_quotation_marks_and_whole_blocks(spark):
+    one = lambda f, *v: spark.range(1).select(f(*[F.lit(x) for x in v]).alias("x")).head()["x"]
+    wrong = "\u00e2\u0141"
+    assert one(repair.without_mojibake, f"it{wrong}\u2122s {wrong}\u201cso{wrong}\u201d Euler\u0141s \u0141\u00f3d\u017a a\u0141 1\u01412 Ã©") == "it\u2019s \u201cso\u201d Euler\u2019s \u0141\u00f3d\u017a a\u0141 1\u20192 Ã©"
+    assert one(repair.clean_block, "P^{" + LONG + " of fifind}") == "P" + LONG + " of find"
+    assert one(repair.clean_block, "x^{2} of fifind\n\nx^{2} of fifind\n\nend a_1.indd 9 1/2/03 1:10 AM") == "x^{2} of find\n\nend "
+    assert one(repair.clean_block, "ffiffi") == "ffiffi" and one(repair.clean_block, "ffiffi fifi") == "ffi fi"
+
+
 def test_tables():
     html = "<table><tr><th colspan='2'>A</th><th>B</th></tr><tr><td rowspan=2>x</td><td>1</td><td>2</td></tr><tr><td>3</td><td>p|q &amp; r</td></tr></table>"
     assert tables.markdown(html) == "| A | A | B |\n| --- | --- | --- |\n| x | 1 | 2 |\n| x | 3 | p\\|q & r |"
