@@ -572,7 +572,8 @@ def body_font(spark, sf):
 
 
 @query(f"""WITH {_FONTS}, body AS (SELECT doc, height AS h FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY chars DESC, family, bucket) AS n FROM fonts) WHERE n = 1)
-  SELECT doc, family, bucket, row_number() OVER (PARTITION BY doc ORDER BY height DESC, family, bucket)::INT AS level FROM fonts JOIN body USING (doc) WHERE height > h AND pages >= 2 AND segments >= 5 AND chars >= 10""")
+  , c AS (SELECT *, coalesce(max(height) FILTER (segments >= 5) OVER (PARTITION BY doc), 0) AS tallest FROM fonts JOIN body USING (doc) WHERE height > h AND pages >= 2)
+  SELECT doc, family, bucket, row_number() OVER (PARTITION BY doc ORDER BY height DESC, chars, family, bucket)::INT AS level FROM c WHERE (segments >= 5 OR height > tallest) AND chars >= 10""")
 def heading_levels(spark, sf):
     pages = ad.sections(spark, sf).groupBy("doc").agg(F.countDistinct("page").alias("n_pages"))
     return crosspage.heading_levels(crosspage.font_table(_segments(spark, sf)), pages)
@@ -623,6 +624,56 @@ def contained_characters(spark, sf):
     return crosspage.contained_characters(h.select("doc", "seq", "depth"), h.select("doc", "seq", "chars"))
 
 
+@query(f"""WITH {_HEADS}, e AS (SELECT a.doc, a.seq, min(b.seq) AS nxt FROM h a LEFT JOIN h b ON a.doc = b.doc AND b.seq > a.seq AND b.depth <= a.depth GROUP BY a.doc, a.seq), k AS (SELECT e.doc, e.seq, sum(s.chars)::BIGINT AS chars FROM e JOIN h s ON s.doc = e.doc AND s.seq > e.seq AND (nxt IS NULL OR s.seq < nxt) GROUP BY e.doc, e.seq)
+  SELECT doc, seq, chars FROM k WHERE chars >= 2000 OR seq % 5 IN (0, 3)""")
+def substantial_headings(spark, sf):
+    """Headings with much text under them, with a number, or of front matter."""
+    h = _heads(spark, sf)
+    held = crosspage.contained_characters(h.select("doc", "seq", "depth"), h.select("doc", "seq", "chars"))
+    titles = F.array(*[F.lit(x) for x in ("2.1 Results", "Some results", "x 2 Results", "3 PREFACE ", "The preface")])
+    return crosspage.substantial_headings(held.withColumn("title", F.get(titles, (F.col("seq") % 5).cast("int")))).select("doc", "seq", "chars")
+
+
+@query(f"""WITH {ad.SECTIONS}, s AS (SELECT doc, page, seq, text, CASE WHEN seq % 7 = 0 THEN 'Head' ELSE 'Body' END AS family, ['AB+Text', 'CMMI10', 'Text-Bold', 'Other'][(seq // 7) % 4 + 1] AS raw FROM sections), f AS (SELECT doc, family, raw, min(page * 100000 + seq) AS place FROM s GROUP BY ALL),
+  n AS (SELECT doc, family, array_to_string(list_slice(list(raw ORDER BY place), 1, 3), ',') AS raw_names FROM f GROUP BY ALL), t AS (SELECT doc, family, arg_min(text, page * 100000 + seq) AS first FROM s WHERE trim(text) <> '' GROUP BY ALL)
+  SELECT n.doc, n.family, raw_names, contains(raw_names, 'CMMI10') AS is_math, CASE WHEN NOT contains(raw_names, 'CMMI10') THEN CASE WHEN strlen(first) > 60 THEN substr(first, 1, 57) || '...' ELSE first END END AS sample FROM n LEFT JOIN t ON t.doc = n.doc AND t.family = n.family""")
+def font_names(spark, sf):
+    """Raw names and samples of fonts, and which hold symbols."""
+    raw = F.get(F.array(F.lit("AB+Text"), F.lit("CMMI10"), F.lit("Text-Bold"), F.lit("Other")), (F.floor(F.col("seq") / 7) % 4).cast("int"))
+    rows = ad.sections(spark, sf).select("doc", "page", "seq", "text", F.when(F.col("seq") % 7 == 0, "Head").otherwise("Body").alias("family"), F.lit(20).alias("bucket"), F.lit(10.0).alias("height"), raw.alias("raw_name"))
+    return crosspage.font_table(rows).select("doc", "family", F.array_join("raw_names", ",").alias("raw_names"), "is_math", "sample")
+
+
+@query(f"""WITH {ad.VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY paper_id, chapter_idx, section_idx ORDER BY chunk_id) AS k FROM vectors), h AS (SELECT * FROM t ORDER BY score, chunk_id LIMIT 10)
+  SELECT h.chunk_id, h.score, a.chunk_id AS prev_id, b.chunk_id AS next_id FROM h LEFT JOIN t a ON a.paper_id = h.paper_id AND a.chapter_idx = h.chapter_idx AND a.section_idx = h.section_idx AND a.k = h.k - 1 LEFT JOIN t b ON b.paper_id = h.paper_id AND b.chapter_idx = h.chapter_idx AND b.section_idx = h.section_idx AND b.k = h.k + 1""")
+def vec_context(spark, sf):
+    """Nearest chunks with the chunks around them."""
+    rows = ad.vectors(spark, sf).withColumns({"chunk_idx": F.col("chunk_id"), "block_type": F.lit("text"), "text": F.col("chunk_id").cast("string")})
+    return vector.search_chunks(rows, ad.query_vector(spark, sf), 10).select("chunk_id", "score", "prev_id", "next_id")
+
+
+@query("SELECT CASE WHEN count(*) = 0 THEN 'not found' WHEN count(*) = 1 THEN 'found' ELSE 'suggestions' END AS outcome, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS id, CASE WHEN count(*) > 1 THEN string_agg(c_name || ' (' || c_nationkey || ')', '; ' ORDER BY c_nationkey DESC, c_custkey) END AS suggestions FROM (SELECT * FROM customer WHERE contains(lower(c_name), '0001') ORDER BY c_nationkey DESC, c_custkey LIMIT 200)")
+def cat_resolve_work(spark, sf):
+    return catalog.resolve_work(ad.table(spark, sf, "customer"), "0001", "c_custkey", "c_name", "c_nationkey")
+
+
+@query(f"WITH {ad.ARTICLES}, {ad.EXHIBITS} SELECT paper_id, string_agg(CASE WHEN n = 1 THEN '1 ' || exhibit_type ELSE n || ' ' || exhibit_type || 's' END, ', ' ORDER BY exhibit_type) AS types FROM (SELECT paper_id, exhibit_type, count(*) AS n FROM exhibits GROUP BY ALL) GROUP BY paper_id")
+def exhibit_types(spark, sf):
+    return ingest.type_counts(ad.exhibits(spark, sf))
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS is_ok, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'I' || event_id END AS keys, 'zotero://select/library/items/I' || event_id AS uri FROM events")
+def lib_write_outcomes(spark, sf):
+    n = F.col("event_id")
+    e = ad.table(spark, sf, "events").select("event_id", F.create_map(F.lit("0"), F.when(n % 4 == 0, "{}").otherwise(F.concat(F.lit('{"key": "I'), n, F.lit('"}')))).alias("successful"), F.when(n % 3 == 0, F.create_map(F.lit("1"), F.lit("400"))).otherwise(F.from_json(F.lit("{}"), "map<string,string>")).alias("failed"))
+    return library.write_outcomes(e).select("event_id", "is_ok", F.array_join("keys", ",").alias("keys"), library.item_uri(F.concat(F.lit("I"), "event_id")).alias("uri"))
+
+
+@query(f"WITH {ad.ARTICLES}, {ad.EXHIBITS} SELECT * FROM exhibits WHERE exhibit_id = 'fig1' AND paper_id = 'p3'")
+def exhibit_record(spark, sf):
+    return index.get_exhibit(ad.exhibits(spark, sf).where("paper_id = 'p3'"), "fig1")
+
+
 # ---- page geometry ----
 
 _AREA = "(greatest({0}.x2 - {0}.x1, 0) * greatest({0}.y2 - {0}.y1, 0))"

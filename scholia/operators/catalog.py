@@ -86,6 +86,25 @@ def resolve_name(entities: DataFrame, text: str, ident: str, name: str, cited: s
     return entities.where(hit).orderBy(F.desc_nulls_last(cited), ident).limit(1)
 
 
+#: Fixed value: works by a title that are looked at.
+MOST_CANDIDATES = 200
+
+
+def resolve_work(works: DataFrame, text: str, ident: str = "id", name: str = "display_name", cited: str = "cited_by_count") -> DataFrame:
+    """outcome, id, suggestions of a title: the work whose title it is, whatever the case; else the sole one whose title holds it; else all of these as suggestions.
+
+    At most the 200 most cited works whose titles hold the text are looked at; no such work: not found.
+    """
+    hits = works.where(F.contains(F.lower(name), F.lit(text.lower()))).orderBy(F.desc_nulls_last(cited), ident).limit(MOST_CANDIDATES)
+    one = F.struct(F.coalesce(-F.col(cited), F.lit(0)).alias("rank"), F.col(ident).alias("id"), F.col(name).alias("name"), F.coalesce(cited, F.lit(0)).alias("cited"), (F.lower(name) == text.lower()).alias("exact"))
+    rows = hits.agg(F.array_sort(F.collect_list(one)).alias("c"))
+    exact = F.get(F.filter("c", lambda x: x["exact"]), F.lit(0))
+    found = F.coalesce(exact["id"], F.when(F.size("c") == 1, F.get("c", F.lit(0))["id"]))
+    outcome = F.when(F.size("c") == 0, "not found").when(found.isNotNull(), "found").otherwise("suggestions")
+    names = F.when(outcome == "suggestions", F.transform("c", lambda x: F.concat(x["name"], F.lit(" ("), x["cited"].cast("string"), F.lit(")"))))
+    return rows.select(outcome.alias("outcome"), found.alias("id"), F.array_join(names, "; ").alias("suggestions"))
+
+
 def autocomplete(entities: DataFrame, text: str, ident: str, name: str, cited: str, limit: int = 10) -> DataFrame:
     """Entities whose names begin with the text, most cited first."""
     return entities.where(F.lower(name).startswith(text.lower())).orderBy(F.desc_nulls_last(cited), ident).limit(limit)

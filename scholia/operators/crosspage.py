@@ -72,32 +72,81 @@ def watermarks(lines: DataFrame, share: float = 0.5, least_pages: int = 5) -> Da
     return found.where((F.col("all_pages") >= least_pages) & (F.col("pages") > share * F.col("all_pages"))).drop("all_pages")
 
 
+#: Openings and parts of names of fonts that hold symbols, not text; bytes of a sample and of its opening; raw names of a font kept.
+SYMBOL_OPENINGS = ["CMMI", "CMSY", "CMEX", "LMMI", "LMSY", "NEWPXMI", "PXMI", "PXSY", "TXEX", "TXSY", "PXEX", "TXMI", "MSAM", "MSBM", "EUSM", "EUFM", "RSFS", "STMARY", "WASY", "LCIRCLE", "LINE", "WINGDING"]
+SYMBOL_PARTS = ["MATH", "SYMBOL", "DINGBAT", "ARROW"]
+SAMPLE_BYTES, SAMPLE_OPENING, RAW_NAMES = 60, 57, 3
+#: Characters under a heading from which it needs no number; the forms of a number; titles of front and back matter.
+LEAST_CONTAINED = 2000
+NUMBERED = r"^\s*(?:\d+(?:[.\-][A-Za-z0-9]+)*|[A-Z]\d+(?:[.\-][A-Za-z0-9]+)*|[A-Z](?:[.\-][A-Za-z0-9]+)+|[A-Z]|[IVXLCDM]{2,})\s+[a-zA-Z]"
+MATTER = [
+    "contents", "table of contents", "preface", "foreword", "index", "subject index", "author index", "name index", "keyword index", "figures", "list of figures", "tables", "list of tables", "list of algorithms",
+    "bibliography", "references", "glossary", "glossary of symbols", "glossary of notation", "notation", "list of symbols", "acknowledgements", "acknowledgments",
+]
+
+
+def holds_symbols(name: Column) -> Column:
+    """Whether a font's name says that it holds symbols; an empty or null name says nothing."""
+    return F.coalesce(F.upper(name).rlike(rf"^(?:{'|'.join(SYMBOL_OPENINGS)})|{'|'.join(SYMBOL_PARTS)}"), F.lit(False))
+
+
 def font_table(segments: DataFrame) -> DataFrame:
-    """doc, family, bucket with characters, segments, the upper median of heights (the sorted heights' element at half), and pages."""
+    """doc, family, bucket with characters, segments, the upper median of heights (the sorted heights' element at half), and pages.
+
+    Where segments have a ``raw_name``, also the first three raw names, whether one of them holds symbols, and,
+    of fonts that hold text, a sample: the first segment that is not blank, its opening if it is long.
+    """
     heights = F.array_sort(F.collect_list("height"))
-    rows = segments.groupBy("doc", "family", "bucket").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("segments"), F.countDistinct("page").alias("pages"), heights.alias("h"))
-    return rows.withColumn("height", F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int"))).drop("h")
+    named = "raw_name" in segments.columns
+    more = [F.array_sort(F.collect_list(F.struct("page", "seq", "raw_name", "text"))).alias("rows")] if named else []
+    rows = segments.groupBy("doc", "family", "bucket").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("segments"), F.countDistinct("page").alias("pages"), heights.alias("h"), *more)
+    rows = rows.withColumn("height", F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int"))).drop("h")
+    if not named:
+        return rows
+    rows = rows.withColumn("raw_names", F.slice(F.array_distinct(F.transform("rows", lambda r: r["raw_name"])), 1, RAW_NAMES))
+    rows = rows.withColumn("is_math", F.exists("raw_names", holds_symbols))
+    first = F.get(F.filter("rows", lambda r: F.trim(r["text"]) != ""), F.lit(0))["text"]
+    sample = F.when(F.octet_length(first) > SAMPLE_BYTES, F.concat(F.substring(first, 1, SAMPLE_OPENING), F.lit("..."))).otherwise(first)
+    return rows.withColumn("sample", F.when(~F.col("is_math"), sample)).drop("rows")
 
 
 def body_font(fonts: DataFrame) -> DataFrame:
-    """doc and the font of most characters; ties by family and bucket."""
+    """doc and the font of most characters among those that hold text; ties by family and bucket."""
     w = Window.partitionBy("doc").orderBy(F.desc("chars"), "family", "bucket")
-    return fonts.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "segments", "pages")
+    rows = fonts.where(~F.col("is_math")) if "is_math" in fonts.columns else fonts
+    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc", "family", "bucket", "chars", "height")
 
 
-def heading_levels(fonts: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
-    """doc, family, bucket, level: fonts taller than the body's that come often enough, tallest first.
+def heading_levels(fonts: DataFrame, pages: DataFrame, most: int = 10, candidates: DataFrame | None = None) -> DataFrame:
+    """doc, family, bucket, level: fonts of headings, tallest first.
 
-    Long documents (50 pages) ask for four pages and ten segments, others for two and five; ten characters at least.
+    A font must stand on two pages and in five segments, in long documents (50 pages) on four and in ten. One that
+    comes too seldom is taken up all the same if it is taller than every font that comes often enough.
+    Taller fonts than the body's come first, of equal ones that of fewer characters; ``candidates`` (a font
+    table of segments that may be headings for other reasons) may also hold shorter ones, which follow by
+    fewer characters.  Fonts of under ten characters, and those beyond ``most`` levels, have none.
     """
     body = body_font(fonts).select("doc", F.col("height").alias("body_height"))
-    rows = fonts.join(body, "doc").join(pages, "doc").where(F.col("height") > F.col("body_height"))
-    long = F.col("n_pages") >= 50
-    rows = rows.where((F.col("pages") >= F.when(long, 4).otherwise(2)) & (F.col("segments") >= F.when(long, 10).otherwise(5)) & (F.col("chars") >= 10))
-    w = Window.partitionBy("doc").orderBy(F.desc("height"), "family", "bucket")
+    rows = (fonts if candidates is None else candidates).join(body, "doc").join(pages, "doc")
+    long, taller = F.col("n_pages") >= 50, F.col("height") > F.col("body_height")
+    rows = rows.where((F.col("pages") >= F.when(long, 4).otherwise(2)) & (taller | F.lit(candidates is not None)))
+    rows = rows.withColumns({"taller": taller, "often": F.col("segments") >= F.when(long, 10).otherwise(5)})
+    tallest = F.coalesce(F.max(F.when(F.col("often") & F.col("taller"), F.col("height"))).over(Window.partitionBy("doc")), F.lit(0.0))
+    rows = rows.withColumn("tallest", tallest).where(F.col("often") | (F.col("taller") & (F.col("height") > F.col("tallest")))).where(F.col("chars") >= 10)
+    w = Window.partitionBy("doc").orderBy(F.desc("taller"), F.desc(F.when(F.col("taller"), F.col("height"))), "chars", "family", "bucket")
     return rows.withColumn("level", F.row_number().over(w)).where(F.col("level") <= most).select("doc", "family", "bucket", "level")
 
 
+def is_matter(title: Column) -> Column:
+    """Whether a heading, from its first letter on, names front or back matter."""
+    return F.lower(F.trim(F.regexp_replace(title, r"^[^A-Za-z]*", ""))).isin(MATTER)
+
+
+def substantial_headings(headings: DataFrame) -> DataFrame:
+    """Headings (title, chars) with enough text under them, or a number before them, or the name of front or back matter."""
+    return headings.where((F.col("chars") >= LEAST_CONTAINED) | F.trim("title").rlike(NUMBERED) | is_matter(F.col("title")))
+
+
 def contained_characters(headings: DataFrame, segments: DataFrame) -> DataFrame:
     """doc, seq, chars of what stands under each heading up to the next of the same or a smaller depth: one pass in order."""
     return ordered.contents(headings, segments)

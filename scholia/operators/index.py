@@ -121,3 +121,13 @@ def referenced_by(chunks: DataFrame) -> DataFrame:
 
 def list_chunks(chunks: DataFrame, limit: int = 50) -> DataFrame:
     return chunks.select(*ORDER, "chunk_id", preview(F.col("text")).alias("preview")).orderBy(*ORDER).limit(limit)
+
+
+def get_exhibit(exhibits: DataFrame, exhibit: str) -> DataFrame:
+    """One exhibit's record; no row if there is none."""
+    return exhibits.where(F.col("exhibit_id") == exhibit).limit(1)
+
+
+def available(chunks: DataFrame) -> DataFrame:
+    """paper_id, title of all that is indexed: what is listed where ``resolve_paper`` finds nothing."""
+    return chunks.groupBy("paper_id").agg(F.min_by("title", F.struct("chapter_idx", "section_idx", "chunk_idx")).alias("title"))

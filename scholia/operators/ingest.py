@@ -169,6 +169,14 @@ def reference_stats(links: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 
+def type_counts(exhibits: DataFrame) -> DataFrame:
+    """paper_id, types: how many exhibits of each type an article has, by type, as ``1 figure, 3 tables``."""
+    rows = exhibits.groupBy("paper_id", "exhibit_type").agg(F.count("*").alias("n"))
+    one = F.concat(F.col("n"), F.lit(" "), "exhibit_type", F.when(F.col("n") == 1, "").otherwise("s"))
+    listed = F.array_sort(F.collect_list(F.struct("exhibit_type", one.alias("said"))))
+    return rows.groupBy("paper_id").agg(F.array_join(F.transform(listed, lambda x: x["said"]), ", ").alias("types"))
+
+
 def fold_tree(paper: str, nodes: list[dict]) -> list[list]:
     """FOLD rows of a reflow document's nodes (type, depth, text, and of some section, items, language, marker) in page order.
 

@@ -125,3 +125,14 @@ def searched_tags(items: DataFrame, text: str, mode: str = "contains") -> DataFr
 def fulltext_versions(rows: DataFrame, version: int) -> DataFrame:
     """item_key, version of full texts newer than a version: the latest of each."""
     return rows.where(F.col("version") > version).groupBy("item_key").agg(F.max("version").alias("version"))
+
+
+def write_outcomes(responses: DataFrame) -> DataFrame:
+    """Responses to writes (successful, failed: maps, the former to objects as JSON) with whether all is well and the keys that were written."""
+    keys = F.filter(F.transform(F.map_values("successful"), lambda v: F.get_json_object(v, "$.key")), lambda k: k.isNotNull())
+    return responses.withColumns({"is_ok": F.coalesce(F.size("failed"), F.lit(0)) <= 0, "keys": F.coalesce(keys, F.array().cast("array<string>"))})
+
+
+def item_uri(key: Column) -> Column:
+    """The address by which the library's own program opens an item."""
+    return F.concat(F.lit("zotero://select/library/items/"), key)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
+from . import index
 
 #: Hits a grouped search looks at, as multiples of its limit.
 WIDE, SECTIONS = 15, 10
@@ -43,6 +44,34 @@ def grouped(df: DataFrame, query: list[float], limit: int, keys: list[str], iden
     return found.withColumn("preview", preview(F.col("best_text"))).drop("best_text").orderBy("score", *keys).limit(limit)
 
 
+def search_chunks(chunks: DataFrame, query: list[float], limit: int = 5) -> DataFrame:
+    """The nearest chunks with the ids and previews of the chunks before and after each.
+
+    Neighbours are looked up in the sections of the hits alone, of which there are at most ``limit``; so
+    few that they may be broadcast.
+    """
+    hits = nearest(chunks, query, limit, "chunk_id")
+    near = index.neighbours(chunks.drop("vector").join(F.broadcast(hits.select(*index.SECTION).distinct()), index.SECTION, "left_semi"))
+    near = near.select("chunk_id", "prev_id", "next_id", "prev_preview", "next_preview")
+    return hits.join(near, "chunk_id").orderBy("score", "chunk_id")
+
+
+#: Hits of a search by meaning, and characters of a query from which it is sent as a body.
+LEAST_FOUND, MOST_FOUND, LONG_QUERY = 1, 100, 2048
+
+
+def found_by_meaning(df: DataFrame, query: list[float], count: int, ident: str, vector: str = "vector") -> DataFrame:
+    """The ``count`` rows most similar to the query, 1 to 100, with their ``score`` (higher is nearer)."""
+    if not LEAST_FOUND <= count <= MOST_FOUND:
+        raise ValueError("a search by meaning finds 1 to 100 rows")
+    return df.withColumn("score", cosine(F.col(vector), query)).drop(vector).orderBy(F.desc("score"), ident).limit(count)
+
+
+def sent_as(query: Column) -> Column:
+    """How a query's text is sent: long ones as a body."""
+    return F.when(F.length(query) > LONG_QUERY, "POST").otherwise("GET")
+
+
 def search_works(df, query, limit=5, ident="chunk_id"):
     return grouped(df, query, limit, ["paper_id"], ident)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scholia import schemas
 from scholia.functions import code, formula, repair, tables, text
 from scholia.operators import blocks as page_lines
-from scholia.operators import ann, catalog, crosspage, filters, ingest, layout, library, reflow, selection, toc, vector
+from scholia.operators import ann, catalog, crosspage, filters, ingest, layout, library, ordered, reflow, selection, toc, vector
 from scholia.plans import dsl
 from scholia.sources import blocks
 from scholia.sources.embeddings import EmbeddingCache
@@ -406,3 +406,59 @@ def test_buckets_recall(spark):
 def test_contents_listing(spark):
     rows = spark.createDataFrame([("d", 0, 1, "One", "1"), ("d", 1, 2, "Two", None)], "doc string, seq int, depth int, title string, page_label string")
     assert toc.rendered(rows).head()["markdown"] == "- One (1)\n  - Two"
+
+
+def test_heading_levels_with_rare_and_short_fonts(spark):
+    """A rare font taller than all common ones has a level; rarer shorter ones don't; candidates shorter than the body come last."""
+    fonts = [("d", "Body", 20, 9000, 100, 40, 10.0), ("d", "Part", 60, 40, 3, 3, 30.0), ("d", "Chap", 40, 300, 20, 9, 20.0), ("d", "Rare", 30, 50, 3, 3, 15.0), ("d", "Few", 44, 9, 9, 9, 22.0), ("d", "Run", 18, 80, 30, 12, 9.0), ("d", "Note", 16, 200, 30, 12, 8.0)]
+    table = spark.createDataFrame(fonts, "doc string, family string, bucket int, chars long, segments long, pages long, height double")
+    pages = spark.createDataFrame([("d", 40)], "doc string, n_pages long")
+    level = lambda rows: {r.family: r.level for r in rows.collect()}
+    assert level(crosspage.heading_levels(table, pages)) == {"Part": 1, "Chap": 2}
+    assert level(crosspage.heading_levels(table, pages, candidates=table.where("family <> 'Body'"))) == {"Part": 1, "Chap": 2, "Run": 3, "Note": 4}
+    assert level(crosspage.heading_levels(table, spark.createDataFrame([("d", 60)], "doc string, n_pages long"))) == {"Chap": 1}
+    with_math = table.withColumn("is_math", F.col("family") == "Body")
+    assert crosspage.body_font(with_math).head().family == "Chap"
+
+
+def test_fonts_numbers_and_matter(spark):
+    one = lambda f, v: spark.range(1).select(f(F.lit(v)).alias("x")).head()["x"]
+    assert [one(crosspage.holds_symbols, x) for x in ("cmmi10", "Times-Roman", "MathJax_Main", "AB+CMMI10", "", "Wingdings", "Outline")] == [True, False, True, False, False, True, False]
+    rows = spark.createDataFrame([(t, 10) for t in ("1.2 Results", "A Proofs", "IV Ends", "B-2 More", "A1.3 x", "Results", "1.2", "a Proofs", "2 Contents", "Preface", "12 index ")] + [("Long one", 2000)], "title string, chars long")
+    assert {r.title for r in crosspage.substantial_headings(rows).collect()} == {"1.2 Results", "A Proofs", "IV Ends", "B-2 More", "A1.3 x", "2 Contents", "Preface", "12 index ", "Long one"}
+
+
+def test_titles_meant(spark):
+    works = spark.createDataFrame([("W1", "Deep Nets", 5), ("W2", "On deep nets", 9), ("W3", "Other", 1)], "id string, display_name string, cited_by_count long")
+    meant = lambda text: tuple(catalog.resolve_work(works, text).head())
+    assert meant("deep nets")[:2] == ("found", "W1") and meant("other")[:2] == ("found", "W3") and meant("on deep")[:2] == ("found", "W2") and meant("zzz")[0] == "not found"
+    assert meant("deep")[0] == "suggestions" and meant("deep")[2] == "On deep nets (9); Deep Nets (5)"
+    with pytest.raises(ValueError):
+        vector.found_by_meaning(works, [0.0], 0, "id")
+
+
+def test_nested_headings_in_order(spark):
+    """Parents, ends and contents against plain loops, over several documents and tasks."""
+    rnd = random.Random(6)
+    heads = [(f"d{d}", 2 * k, rnd.randint(1, 6), k) for d in range(9) for k in range(rnd.choice([1, 3, 60]))]
+    segments = [(f"d{d}", rnd.randrange(130), rnd.randrange(50)) for d in range(9) for _ in range(120)]
+    h, s = spark.createDataFrame(heads, "doc string, seq int, depth int, value int"), spark.createDataFrame(segments, "doc string, seq int, chars long")
+    parent, ends, held = {}, {}, {}
+    for doc, seq, depth, _ in heads:
+        same = [x for x in heads if x[0] == doc]
+        parent[doc, seq] = max((x[1] for x in same if x[1] < seq and x[2] < depth), default=None)
+        ends[doc, seq] = min((x[1] for x in same if x[1] > seq and x[2] <= depth), default=None)
+        inside = [c for d, q, c in segments if d == doc and q > seq and (ends[doc, seq] is None or q < ends[doc, seq])]
+        if inside:
+            held[doc, seq] = sum(inside)
+    rows = ordered.nested(h).collect()
+    assert {(r.doc, r.seq): r.parent_seq for r in rows} == parent and {(r.doc, r.seq): r.next_seq for r in rows} == ends and len(rows) == len(heads)
+    assert {(r.doc, r.seq): r.chars for r in ordered.contents(h.select("doc", "seq", "depth"), s).collect()} == held
+
+
+def test_boxes_meet_in_cells(spark):
+    rnd = random.Random(7)
+    rows = [("d", k % 3, f"{k:03}", x := rnd.uniform(-150, 500), y := rnd.uniform(0, 700), x + rnd.choice([0, 20, 300]), y + rnd.choice([5, 150])) for k in range(90)]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] and min(a[5], b[5]) > max(a[3], b[3]) and min(a[6], b[6]) > max(a[4], b[4])}
+    got = [(r.a_id, r.b_id) for r in layout.meeting_pairs(spark.createDataFrame(rows, "doc string, page int, id string, x1 double, y1 double, x2 double, y2 double")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
