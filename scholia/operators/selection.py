@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_doi
@@ -85,7 +85,13 @@ def sync_plan(entries: DataFrame) -> DataFrame:
 
 
 def by_place(names: DataFrame, asked: str) -> DataFrame:
-    """A selection by its 1-based place among sorted names, or by its name, whatever the case."""
-    rows = names.withColumn("place", F.row_number().over(Window.orderBy("name")))
-    test: Column = F.col("place") == int(asked) if asked.isdigit() else F.lower("name") == asked.lower()
-    return rows.where(test)
+    """name, place of a selection by its 1-based place among sorted names, or by its name, whatever the case.
+
+    A place is found by a top-k, a name's place by counting the names before it.
+    """
+    if asked.isdigit():
+        place = int(asked)
+        return names.orderBy("name").limit(place).orderBy(F.desc("name")).withColumn("place", F.lit(place)).limit(1) if 0 < place <= names.count() else names.limit(0).withColumn("place", F.lit(0))
+    found = names.where(F.lower("name") == asked.lower())
+    before = names.select(F.col("name").alias("other"))
+    return found.join(before, F.col("other") <= F.col("name")).groupBy(*names.columns).agg(F.count("*").cast("int").alias("place"))

@@ -213,9 +213,8 @@ def chunk_rows(spark, articles):
     return spark.createDataFrame([(f"{p}/{k}", p, [0.0], "c", 0, "s", 0, k, "paragraph", "text", t, None, None, "T", ["A"], 2000, None, ["x"], []) for p, t in articles for k in range(2)], schemas.CHUNKS)
 
 
-@pytest.mark.parametrize("buckets", [0, 4])
+@pytest.mark.parametrize("buckets", [0, 4, 256])
 def test_store(spark, tmp_path, buckets):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoint"))
     held = Store(spark, str(tmp_path / "index"), buckets)
     assert held.table("chunks").count() == 0 and held.table("exhibits").schema == schemas.EXHIBITS
     held.upsert("chunks", chunk_rows(spark, [("10.1/a:b", "one"), ("q", "two")]))
@@ -228,6 +227,15 @@ def test_store(spark, tmp_path, buckets):
     assert held.table("chunks").columns == [f.name for f in schemas.CHUNKS.fields]
 
 
+def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
+    held = Store(spark, str(tmp_path / "index"))
+    held.upsert("chunks", chunk_rows(spark, [("a", "1")]))
+    for f in (tmp_path / "index/chunks").rglob("*.parquet"):
+        f.write_bytes(b"not a table")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        held.upsert("chunks", chunk_rows(spark, [("b", "2")]))
+
+
 def test_migrations(spark):
     old = chunk_rows(spark, [("p", "t")]).drop("block_type")
     assert {r.block_type for r in schemas.migrated(old, "chunks", 0).collect()} == {"text"}
@@ -462,3 +470,9 @@ def test_boxes_meet_in_cells(spark):
     want = {(a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] and min(a[5], b[5]) > max(a[3], b[3]) and min(a[6], b[6]) > max(a[4], b[4])}
     got = [(r.a_id, r.b_id) for r in layout.meeting_pairs(spark.createDataFrame(rows, "doc string, page int, id string, x1 double, y1 double, x2 double, y2 double")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_selections_by_place(spark):
+    names = spark.createDataFrame([("b",), ("A",), ("c",)], "name string")
+    at = lambda asked: [tuple(r) for r in selection.by_place(names, asked).collect()]
+    assert at("1") == [("A", 1)] and at("3") == [("c", 3)] and at("4") == at("0") == [] and at("B") == [("b", 2)] and at("zz") == []
