@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from . import ordered
 
 #: Bias of column cuts over row cuts, least gap as a share of the span and in points, distance of grouped figures.
 COLUMN_BIAS, LEAST_GAP, LEAST_POINTS, GROUP_DISTANCE = 1.5, 0.02, 1.0, 30.0
@@ -90,13 +93,15 @@ def xy_cut(items: list[tuple]) -> list:
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
-    """doc, page, id, place of each page's regions by XY-cut."""
+    """doc, page, id, place of each page's regions by XY-cut; pages stream through a task one after the other."""
 
-    def order(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = xy_cut(list(pdf[["id", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"doc": key[0], "page": key[1], "id": ids, "place": range(len(ids))})
+    def order(rows):
+        for (doc, page), boxes_of in groupby(rows, key=lambda r: r[:2]):
+            for place, ident in enumerate(xy_cut([r[2:] for r in boxes_of])):
+                yield doc, page, ident, place
 
-    return regions.groupBy(*PAGE).applyInPandas(order, "doc string, page int, id string, place int")
+    kind = dict(regions.dtypes)
+    return ordered.in_order(regions.select(*PAGE, "id", "x1", "y1", "x2", "y2"), ["page", "id"], order, f"doc {kind['doc']}, page {kind['page']}, id {kind['id']}, place int")
 
 
 def match_captions(captions: list[dict], figures: list[dict], reach: float) -> dict:
