@@ -116,3 +116,23 @@ def test_hilbert_keys_walk_the_grid(dimensions, bits):
     assert sorted(key) == list(range(len(grid)))
     steps = np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1)
     assert (steps == 1).all()
+
+
+def test_lookups_skip_row_groups(spark):
+    """A lookup by id reads a row group of the stride or less, though the file holds many; an id in no group's Bloom filter reads none."""
+    df = spark.range(0, 24_000, 2).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    path = fresh_path(spark, "t")
+    token_output.write_tokens(df, path, PATH, 0, 1)
+
+    def rows_read(doc):
+        found = token_output.read_tokens(spark, path, [doc])
+        got = [r.doc_id for r in found.collect()]
+        plan = found._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return got, leaf.metrics().apply("numOutputRows").value()
+
+    got, read = rows_read(15_000)
+    assert got == [15_000] and 0 < read <= int(token_output.ORC["orc.row.index.stride"])
+    got, read = rows_read(15_001)
+    assert got == [] and read <= int(token_output.ORC["orc.row.index.stride"])
+    assert rows_read(99_999_999) == ([], 0)
