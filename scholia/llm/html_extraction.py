@@ -426,8 +426,10 @@ def texts_of(sources: list[str | None], trees: BoostedTrees) -> list[str]:
 def extracted(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row's whole html.
 
-    A null or empty html, and one without main text, has an empty text; null ids and urls are kept;
-    repeated rows each give a row; an empty table gives an empty one; other columns are left out.
+    A null or empty html, and one without main text, has an empty text; null ids and urls are kept; a page of
+    any length and depth is read whole, on its own beyond a megabyte; where keeping and leaving out a node
+    are equally likely it is left out; repeated rows each give a row, equal pages equal texts; an empty
+    table gives an empty one; other columns are left out.
     """
     held = pages.sparkSession.sparkContext.broadcast(trees or model())
 

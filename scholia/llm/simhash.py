@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tree: int
 
     A null or blank text has fingerprint zero and is linked like any other; rows with equal ids or texts
     each give a row; a null id takes part in links and is never a component's id unless it has no
-    other; an empty table gives an empty one; other columns are left out.  Equal fingerprints are one
+    other; a text of any length is read whole, and of a bit that half the shingles set it is 0; an empty
+    table gives an empty one; other columns are left out.  Equal fingerprints are one
     node, so a group of copies, however large, is one row of a partial aggregate.
     """
     fps = written(fingerprints(docs, width), "fingerprints")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .shared import pick
 
 
+#: Bytes of text that a model is fitted on at most: rows beyond, in the sample's order, are left out whole, so one task's memory is bounded.
+MOST_BYTES = 256 << 20
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; a null id: false."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -29,15 +33,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
     return rows.withColumn("at", F.xxhash64("doc_id", "text")).orderBy("at").limit(most_rows).select("text", "label")
 
 
-def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], list[tuple[str, float]]]) -> list[tuple[str, float]]:
-    """Runs ``fit`` over the whole bounded sample in one task; its named numbers, a model of bounded size, come to the driver."""
+def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], list[tuple[str, float]]], most_bytes: int = MOST_BYTES) -> list[tuple[str, float]]:
+    """Runs ``fit`` over the whole bounded sample in one task; its named numbers, a model of bounded size, come to the driver.
+
+    The sample is bounded in rows and in bytes; its first row is always read, and every row read is read whole.
+    """
 
     def run(batches):
-        texts, labels = [], []
+        texts, labels, held = [], [], 0
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            labels += batch.column(1).to_pylist()
-        names, values = zip(*fit([t or "" for t in texts], np.array(labels, np.float64))) if texts else ((), ())
+            for text, label in zip(batch.column(0), batch.column(1)):
+                size = text.as_buffer().size if text.is_valid else 0
+                if not texts or held + size <= most_bytes:
+                    held += size
+                    texts.append(text.as_py() or "")
+                    labels.append(label.as_py())
+        names, values = zip(*fit(texts, np.array(labels, np.float64))) if texts else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["name", "value"])
 
     return [(r.name, r.value) for r in sample.coalesce(1).mapInArrow(run, "name string, value double").collect()]
