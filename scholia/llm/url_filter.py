@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, pick, sized, written
+from .shared import deals, dropped, pick, sized, written
 
 BAD = "=bad"
 #: Mined rules: least share of labelled urls and least urls that hold a combination and are bad; least share of bad ones
@@ -125,7 +125,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least_urls: int = LEAST_
     found = written(common.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")).withColumn("rule", F.xxhash64("tokens")), "url-sets")
     anchors = found.select("rule", F.explode("tokens").alias("token")).join(sized(useful), "token").groupBy("rule").agg(F.min(F.struct("held", "token")).alias("x")).select("rule", F.col("x.token").alias("anchor"))
     found = written(found.join(anchors, "rule"), "url-sets")
-    counts = fitting(rows, found).groupBy("rule").agg(F.count("*").alias("n"))
+    # A labelled url meets many combinations, so few rows are much work: they are dealt to all tasks.
+    counts = fitting(rows.repartition(deals(spark)), found).groupBy("rule").agg(F.count("*").alias("n"))
     base = bad / n
     rules = found.join(counts, "rule").withColumn("confidence", F.col("bad") / F.col("n")).withColumn("lift", F.col("confidence") / base)
     spread = F.sqrt(F.col("n") * base * (1 - base))
