@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words, and ids of words, that a worker holds; beyond either the cache starts anew, so memory stays bounded.
-CACHED_WORDS, CACHED_IDS = 1_000_000, 8_000_000
+CACHED_WORDS, CACHED_IDS = 600_000, 5_000_000
 #: Longer pieces are held for one batch only.
 LONG_WORD = 100
 #: Marks that end words, of which runs are held apart from them.
@@ -246,7 +246,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: pa.Array, most_bytes: int = 8_000_000):
+def slices(texts: pa.Array, most_bytes: int = 4_000_000):
     """Runs of ``texts`` of about ``most_bytes`` each, as (start, end); a longer text is a run of its own end."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // most_bytes
