@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +106,23 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return ordered.in_order(regions.select(*PAGE, "id", "x1", "y1", "x2", "y2"), ["page", "id"], order, f"doc {kind['doc']}, page {kind['page']}, id {kind['id']}, place int")
 
 
+def slices(rows: int, columns: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of ``rows`` that hold at most ``most`` pairs with ``columns``, or one row."""
+    step = max(1, most // max(1, columns))
+    return ((k, min(k + step, rows)) for k in range(0, rows, step))
+
+
+def one_to_one(found: list[tuple]) -> dict:
+    """First to second of pairs (the last two of each), taken in order where neither has been taken."""
+    out: dict = {}
+    taken: set = set()
+    for *_, a, b in found:
+        if a not in out and b not in taken:
+            out[a] = b
+            taken.add(b)
+    return out
+
+
 def match_captions(captions: list[dict], figures: list[dict], reach: float) -> dict:
     """Caption id to figure id, one to one: pairs that align across and lie within reach, captions below first, then the nearest."""
     found = []
@@ -210,17 +229,18 @@ def without_duplicates(regions: DataFrame) -> DataFrame:
 def formula_numbers(regions: DataFrame, reach: float = 50.0) -> DataFrame:
     """doc, page, number_id, formula_id: each formula number and the display formula level with it, nearest pairs first, one to one."""
 
-    def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("id").to_dict("records")
-        middle = lambda r: (r["y1"] + r["y2"]) / 2
-        found = sorted((abs(middle(n) - middle(f)), n["id"], f["id"]) for n in rows if n["kind"] == "FormulaNumber" for f in rows if f["kind"] == "DisplayFormula")
-        out: dict = {}
-        for far, n, f in found:
-            if far <= reach and n not in out and f not in out.values():
-                out[n] = f
-        return pd.DataFrame({"doc": key[0], "page": key[1], "number_id": list(out), "formula_id": list(out.values())})
-
-    return regions.groupBy(*PAGE).applyInPandas(match, "doc string, page int, number_id string, formula_id string")
+    def match(number, ids, y1, y2):
+        middle = (y1 + y2) / 2
+        numbers, formulas = np.flatnonzero(number), np.flatnonzero(~number)
+        found = []
+        for start, end in slices(len(numbers), len(formulas)):
+            far = np.abs(middle[numbers[start:end], None] - middle[formulas])
+            n, f = np.nonzero(far <= reach)
+            found += zip(far[n, f].tolist(), ids[numbers[start + n]].tolist(), ids[formulas[f]].tolist())
+        return one_to_one(sorted(found)).items()
+
+    rows = regions.where(F.col("kind").isin("FormulaNumber", "DisplayFormula")).select(*PAGE, (F.col("kind") == "FormulaNumber").alias("number"), "id", "y1", "y2")
+    return ordered.in_pages(rows, ["id"], match, "number_id string, formula_id string")
 
 
 def abstract_duplicates(regions: DataFrame, ratio: float = 0.95, least: float = 0.5) -> DataFrame:
