@@ -192,8 +192,8 @@ def inferred_depths(headings: DataFrame) -> DataFrame:
 
 
 def tree_parents(headings: DataFrame) -> DataFrame:
-    """doc, seq, parent_seq: the last heading before with a smaller depth, in one pass in order."""
-    return ordered.nested(headings.withColumn("value", F.lit(None).cast("int"))).select("doc", "seq", "parent_seq")
+    """doc, seq, parent_seq of each place: the last heading before with a smaller depth than its deepest, in one pass in order."""
+    return ordered.nested(headings.withColumn("value", F.lit(None).cast("int")), merged=True).select("doc", "seq", "parent_seq")
 
 
 def numeric_summary(rows: DataFrame, kind: str, value: str) -> DataFrame:
