@@ -21,6 +21,7 @@ CAPTION_KINDS = ["FigureTitle", "TableTitle", "FigureTableTitle", "ChartTitle"]
 VISUAL_KINDS = ["Image", "Chart", "Seal"]
 GROUPED_KINDS = ["Image", "Chart", "Table", "Seal"]
 PAGE = ["doc", "page"]
+BOX = ["x1", "y1", "x2", "y2"]
 
 
 def pairs(regions: DataFrame) -> DataFrame:
@@ -203,27 +204,35 @@ def lines(glyphs: list[tuple], pad: float = 0.3) -> list[list]:
 PRIORITY = {"Table": 3, "Algorithm": 2, "Image": 2, "DisplayFormula": 2, "Footnote": 1}
 
 
-def kept_of_duplicates(rows: list[dict], share: float = 0.5) -> list:
-    """Ids that stay when, pair by pair in order, the lower of two regions that overlap by more than ``share`` of the smaller goes; of equals the later."""
+def staying(ids: np.ndarray, rank: np.ndarray, box: list[np.ndarray], share: float = 0.5) -> list:
+    """As ``kept_of_duplicates``, of columns: ids, ranks and x1, y1, x2, y2."""
     gone: set = set()
-    size = lambda r: max(0.0, r["x2"] - r["x1"]) * max(0.0, r["y2"] - r["y1"])
-    for k, a in enumerate(rows):
-        for b in rows[k + 1 :]:
-            if a["id"] in gone or b["id"] in gone or not min(size(a), size(b)):
-                continue
-            both = max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) * max(0.0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-            if both > share * min(size(a), size(b)):
-                gone.add(a["id"] if PRIORITY.get(a["kind"], 0) < PRIORITY.get(b["kind"], 0) else b["id"])
-    return [r["id"] for r in rows if r["id"] not in gone]
+    x1, y1, x2, y2 = box
+    size = np.maximum(0.0, x2 - x1) * np.maximum(0.0, y2 - y1)
+    for start, end in slices(len(ids), len(ids)):
+        a, b = slice(start, end), slice(start, None)
+        both = np.maximum(0.0, np.minimum(x2[a, None], x2[b]) - np.maximum(x1[a, None], x1[b])) * np.maximum(0.0, np.minimum(y2[a, None], y2[b]) - np.maximum(y1[a, None], y1[b]))
+        least = np.minimum(size[a, None], size[b])
+        for k, m in zip(*(x.tolist() for x in np.nonzero(np.triu((least != 0) & (both > share * least), 1)))):
+            k, m = start + k, start + m
+            if ids[k] not in gone and ids[m] not in gone:
+                gone.add(ids[k] if rank[k] < rank[m] else ids[m])
+    return [i for i in ids.tolist() if i not in gone]
 
 
-def without_duplicates(regions: DataFrame) -> DataFrame:
-    """doc, page, id of the regions that stay."""
+def kept_of_duplicates(rows: list[dict], share: float = 0.5) -> list:
+    """Ids that stay when, pair by pair in order, the lower of two regions that overlap by more than ``share`` of the smaller goes; of equals the later."""
+    box = [np.array([r[c] for r in rows], float) for c in BOX]
+    return staying(np.array([r["id"] for r in rows], object), np.array([PRIORITY.get(r["kind"], 0) for r in rows]), box, share)
 
-    def keep(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc": key[0], "page": key[1], "id": kept_of_duplicates(pdf.sort_values("id").to_dict("records"))})
 
-    return regions.groupBy(*PAGE).applyInPandas(keep, "doc string, page int, id string")
+def without_duplicates(regions: DataFrame) -> DataFrame:
+    """doc, page, id of the regions that stay; of equal ids the one with the lesser box comes first."""
+    rank = F.lit(0)
+    for kind, value in PRIORITY.items():
+        rank = F.when(F.col("kind") == kind, value).otherwise(rank)
+    rows = regions.select(*PAGE, "id", rank.alias("rank"), *BOX)
+    return ordered.in_pages(rows, ["id", *BOX, "rank"], lambda ids, rank, *box: ((i,) for i in staying(ids, rank, box)), "id string")
 
 
 def formula_numbers(regions: DataFrame, reach: float = 50.0) -> DataFrame:

@@ -49,3 +49,19 @@ def test_formula_numbers(spark):
     got = layout.formula_numbers(spark.createDataFrame(rows, REGIONS), 20.0).collect()
     assert len(got) == len(want) > 20 and set(map(tuple, got)) == want
     assert list(layout.slices(5, 1 << 21)) == [(k, k + 1) for k in range(5)] and list(layout.slices(5, 0)) == [(0, 5)]
+
+
+def test_region_duplicates(spark):
+    rows = some_regions(["Table", "Text", "Footnote", "Image"])
+    size = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
+    want = set()
+    for key, page in by_page(rows).items():
+        gone = set()
+        for k, a in enumerate(page):
+            for b in page[k + 1 :]:
+                both = max(0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) * max(0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
+                if not {a["id"], b["id"]} & gone and min(size(a), size(b)) and both > min(size(a), size(b)) / 2:
+                    gone.add((a if layout.PRIORITY.get(a["kind"], 0) < layout.PRIORITY.get(b["kind"], 0) else b)["id"])
+        want |= {(*key, r["id"]) for r in page if r["id"] not in gone}
+    got = layout.without_duplicates(spark.createDataFrame(rows, REGIONS)).collect()
+    assert len(got) == len(want) < len(rows) and set(map(tuple, got)) == want
