@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -154,29 +155,46 @@ def captions(regions: DataFrame) -> DataFrame:
     return regions.groupBy(*PAGE).applyInPandas(match, "doc string, page int, caption_id string, figure_id string")
 
 
+def parts(ids: np.ndarray, linked: Callable[[slice, slice], np.ndarray]) -> dict:
+    """Each id's least connected id; rows are sorted by id, ``linked`` says which rows of one slice link to which of another."""
+    n = len(ids)
+    top = list(range(n))
+
+    def find(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for k in range(1, n):
+        if ids[k] == ids[k - 1]:
+            top[k] = find(k - 1)
+    for start, end in slices(n, n, 1 << 16):
+        links = np.triu(linked(slice(start, end), slice(start, None)), 1)
+        if start:
+            roots = np.array([find(k) for k in range(start, n)])
+            links &= roots[: end - start, None] != roots
+        for a, b in zip(*(x.tolist() for x in np.nonzero(links))):
+            x, y = find(start + a), find(start + b)
+            top[max(x, y)] = min(x, y)
+    return {i: ids[find(k)] for k, i in enumerate(ids.tolist())}
+
+
 def figure_groups(regions: DataFrame, distance: float = GROUP_DISTANCE) -> DataFrame:
     """doc, page, id, group: groupable regions whose edges are near, as connected parts of at least two."""
 
-    def groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf.kind.isin(GROUPED_KINDS)].sort_values("id").to_dict("records")
-        top = {r["id"]: r["id"] for r in rows}
-
-        def find(i):
-            while top[i] != i:
-                i = top[i]
-            return i
+    def groups(ids, x1, y1, x2, y2):
+        def near(a, b):
+            dx = np.maximum(np.maximum(x1[a, None] - x2[b], x1[b] - x2[a, None]), 0)
+            dy = np.maximum(np.maximum(y1[a, None] - y2[b], y1[b] - y2[a, None]), 0)
+            return np.sqrt(dx * dx + dy * dy) < distance
 
-        for k, a in enumerate(rows):
-            for b in rows[k + 1 :]:
-                dx, dy = max(a["x1"] - b["x2"], b["x1"] - a["x2"], 0), max(a["y1"] - b["y2"], b["y1"] - a["y2"], 0)
-                if (dx * dx + dy * dy) ** 0.5 < distance:
-                    x, y = find(a["id"]), find(b["id"])
-                    top[max(x, y)] = min(x, y)
-        parts = {i: find(i) for i in top}
-        kept = [i for i in parts if sum(g == parts[i] for g in parts.values()) > 1]
-        return pd.DataFrame({"doc": key[0], "page": key[1], "id": kept, "group": [parts[i] for i in kept]})
+        found = parts(ids, near)
+        size = Counter(found.values())
+        return ((i, g) for i, g in found.items() if size[g] > 1)
 
-    return regions.groupBy(*PAGE).applyInPandas(groups, "doc string, page int, id string, group string")
+    rows = regions.where(F.col("kind").isin(GROUPED_KINDS)).select(*PAGE, "id", *BOX)
+    return ordered.in_pages(rows, ["id"], groups, "id string, group string")
 
 
 def glyphs_in_regions(glyphs: DataFrame, regions: DataFrame) -> DataFrame:

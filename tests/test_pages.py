@@ -65,3 +65,32 @@ def test_region_duplicates(spark):
         want |= {(*key, r["id"]) for r in page if r["id"] not in gone}
     got = layout.without_duplicates(spark.createDataFrame(rows, REGIONS)).collect()
     assert len(got) == len(want) < len(rows) and set(map(tuple, got)) == want
+
+def connected(page, linked):
+    top = {r["id"]: r["id"] for r in page}
+    for _ in page:
+        for a in page:
+            for b in page:
+                if linked(a, b):
+                    top[a["id"]] = top[b["id"]] = min(top[a["id"]], top[b["id"]])
+    return top
+
+
+def test_figure_groups(spark):
+    """Connected parts, on pages without any too."""
+    rows = some_regions(["Image", "Table", "Text", "Other"], 90)
+    gap = lambda a, b, lo, hi: max(a[lo] - b[hi], b[lo] - a[hi], 0)
+    want = set()
+    for key, page in by_page(rows).items():
+        top = connected([r for r in page if r["kind"] in layout.GROUPED_KINDS], lambda a, b: gap(a, b, "x1", "x2") ** 2 + gap(a, b, "y1", "y2") ** 2 < 12**2)
+        want |= {(*key, i, g) for i, g in top.items() if list(top.values()).count(g) > 1}
+    got = layout.figure_groups(spark.createDataFrame(rows, REGIONS), 12.0).collect()
+    assert len({r[3] for r in got}) > 3 and len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_parts_in_slices():
+    """More rows than one slice holds: chains across slices, and equal ids are one."""
+    ids = np.array([f"{k // 2:04}" for k in range(700)], object)
+    group = (np.arange(700) // 2) % 5
+    got = layout.parts(ids, lambda a, b: group[a, None] == group[b])
+    assert len(list(layout.slices(700, 700, 1 << 16))) > 1 and got == {f"{k:04}": f"{k % 5:04}" for k in range(350)}
