@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import looks_like_formula
+from . import ordered
 
 #: A block's line gap as a multiple of the page's, least ratio of fonts that parts blocks, share of a page that a spanning line covers.
 GAP, FONT, SPANNING = 1.5, 1.3, 0.6
@@ -27,13 +27,14 @@ def line_blocks(lines: list[dict]) -> list[list[dict]]:
     lines = sorted(lines, key=lambda x: (x["y1"], x["x1"]))
     gaps = [b["y1"] - a["y2"] for a, b in zip(lines, lines[1:])]
     usual = max(upper_median(gaps), 0.1) if gaps else 0.0
+    formula = [looks_like_formula(x["text"]) for x in lines]
     out = [[lines[0]]]
-    for a, b, gap in zip(lines, lines[1:], gaps):
+    for k, (a, b, gap) in enumerate(zip(lines, lines[1:], gaps)):
         short = min(len(a["text"].strip()), len(b["text"].strip())) <= 3
         character = max(a["x2"] - a["x1"], b["x2"] - b["x1"]) / 40
         apart = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]) < -character
         font = max(a["size"], b["size"]) / max(min(a["size"], b["size"]), 0.1) > FONT
-        maths = looks_like_formula(a["text"]) != looks_like_formula(b["text"])
+        maths = formula[k] != formula[k + 1]
         if (not short and (gap > GAP * usual or apart or font)) or maths:
             out.append([b])
         else:
@@ -55,13 +56,15 @@ def columns(lines: list[dict], width: float, gap: float) -> list[list[dict]]:
 
 
 def page_blocks(lines: DataFrame) -> DataFrame:
-    """doc, page, block, n_lines, text of every page's lines."""
+    """doc, page, block, n_lines, text of every page's lines; a null text is empty."""
+    names = ["x1", "y1", "x2", "y2", "size", "text"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = line_blocks(pdf.sort_values(["y1", "x1", "text"]).to_dict("records"))
-        return pd.DataFrame({"doc": key[0], "page": key[1], "block": range(len(blocks)), "n_lines": [len(b) for b in blocks], "text": ["\n".join(x["text"] for x in b) for b in blocks]})
+    def run(*columns):
+        blocks = line_blocks([dict(zip(names, x)) for x in zip(*(c.tolist() for c in columns))])
+        return ((k, len(b), "\n".join(x["text"] for x in b)) for k, b in enumerate(blocks))
 
-    return lines.groupBy("doc", "page").applyInPandas(run, "doc string, page int, block int, n_lines int, text string")
+    rows = lines.select("doc", "page", *[F.col(c).cast("double") for c in names[:-1]], F.coalesce("text", F.lit("")).alias("text"))
+    return ordered.in_pages(rows, ["y1", "x1", "text", "x2", "y2", "size"], run, "block int, n_lines int, text string")
 
 
 def empty_headings(headings: DataFrame, content: DataFrame) -> DataFrame:

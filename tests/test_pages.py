@@ -94,3 +94,15 @@ def test_parts_in_slices():
     group = (np.arange(700) // 2) % 5
     got = layout.parts(ids, lambda a, b: group[a, None] == group[b])
     assert len(list(layout.slices(700, 700, 1 << 16))) > 1 and got == {f"{k:04}": f"{k % 5:04}" for k in range(350)}
+
+def test_page_blocks_keep_every_page(spark):
+    """Blocks as of a page alone, pages of one line and null texts too."""
+    from scholia.operators import blocks
+
+    r = random.Random(3)
+    rows = [("d", k % 4, float(r.randrange(50)), float(r.randrange(400)), 90.0, 400.0, 9.0, r.choice(["x = y + z", "some prose here", "ab"])) for k in range(80)] + [("e", 0, 0.0, 0.0, 1.0, 1.0, 9.0, None)]
+    names = ["x1", "y1", "x2", "y2", "size", "text"]
+    got = blocks.page_blocks(spark.createDataFrame(rows, "doc string, page int, x1 double, y1 double, x2 double, y2 double, size double, text string")).collect()
+    for key in {x[:2] for x in rows}:
+        page = sorted((dict(zip(names, (*x[2:7], x[7] or ""))) for x in rows if x[:2] == key), key=lambda x: (x["y1"], x["x1"], x["text"]))
+        assert sorted(tuple(x)[2:] for x in got if tuple(x)[:2] == key) == [(k, len(b), "\n".join(x["text"] for x in b)) for k, b in enumerate(blocks.line_blocks(page))]
