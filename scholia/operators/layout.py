@@ -281,20 +281,8 @@ def abstract_duplicates(regions: DataFrame, ratio: float = 0.95, least: float =
 def same_columns(regions: DataFrame, kind: str = "References", share: float = 0.5) -> DataFrame:
     """doc, page, id, column of a kind's regions: those that overlap across by more than half of the narrower are one column."""
 
-    def columns(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf.kind == kind].sort_values("id").to_dict("records")
-        top = {r["id"]: r["id"] for r in rows}
-
-        def find(i):
-            while top[i] != i:
-                i = top[i]
-            return i
-
-        for k, a in enumerate(rows):
-            for b in rows[k + 1 :]:
-                if min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]) > share * min(a["x2"] - a["x1"], b["x2"] - b["x1"]):
-                    x, y = find(a["id"]), find(b["id"])
-                    top[max(x, y)] = min(x, y)
-        return pd.DataFrame({"doc": key[0], "page": key[1], "id": list(top), "column": [find(i) for i in top]})
-
-    return regions.groupBy(*PAGE).applyInPandas(columns, "doc string, page int, id string, column string")
+    def columns(ids, x1, x2):
+        across = lambda a, b: np.minimum(x2[a, None], x2[b]) - np.maximum(x1[a, None], x1[b]) > share * np.minimum((x2 - x1)[a, None], (x2 - x1)[b])
+        return parts(ids, across).items()
+
+    return ordered.in_pages(regions.where(F.col("kind") == kind).select(*PAGE, "id", "x1", "x2"), ["id"], columns, "id string, column string")

@@ -106,3 +106,14 @@ def test_page_blocks_keep_every_page(spark):
     for key in {x[:2] for x in rows}:
         page = sorted((dict(zip(names, (*x[2:7], x[7] or ""))) for x in rows if x[:2] == key), key=lambda x: (x["y1"], x["x1"], x["text"]))
         assert sorted(tuple(x)[2:] for x in got if tuple(x)[:2] == key) == [(k, len(b), "\n".join(x["text"] for x in b)) for k, b in enumerate(blocks.line_blocks(page))]
+
+def test_reference_columns(spark):
+    """A page without the kind gives nothing, others the columns of plain loops."""
+    rows = some_regions(["References", "Text"], 40)
+    want = set()
+    for key, page in by_page(rows).items():
+        wide = lambda r: r["x2"] - r["x1"]
+        top = connected([r for r in page if r["kind"] == "References"], lambda a, b: min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]) > min(wide(a), wide(b)) / 2)
+        want |= {(*key, i, g) for i, g in top.items()}
+    got = layout.same_columns(spark.createDataFrame(rows, REGIONS)).collect()
+    assert len({r[3] for r in got}) > 3 and len(got) == len(want) and set(map(tuple, got)) == want
