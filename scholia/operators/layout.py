@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,34 +124,37 @@ def one_to_one(found: list[tuple]) -> dict:
     return out
 
 
+def matched(ids: np.ndarray, box: list[np.ndarray], captions: np.ndarray, figures: np.ndarray, reach: float) -> dict:
+    """As ``match_captions``, of columns: ids and x1, y1, x2, y2, and the rows of captions and figures."""
+    x1, y1, x2, y2 = box
+    found = []
+    f = figures
+    for start, end in slices(len(captions), len(f)):
+        c = captions[start:end, None]
+        far = np.maximum(np.maximum(y1[c] - y2[f], y1[f] - y2[c]), 0.0)
+        hit = (np.minimum(x2[c], x2[f]) > np.maximum(x1[c], x1[f])) & (far <= reach)
+        above = y1[c] < (y1[f] + y2[f]) / 2
+        a, b = np.nonzero(hit)
+        found += zip(above[a, b].tolist(), far[a, b].tolist(), ids[captions[start + a]].tolist(), ids[f[b]].tolist())
+    return one_to_one(sorted(found))
+
+
 def match_captions(captions: list[dict], figures: list[dict], reach: float) -> dict:
     """Caption id to figure id, one to one: pairs that align across and lie within reach, captions below first, then the nearest."""
-    found = []
-    for c in captions:
-        for f in figures:
-            if min(c["x2"], f["x2"]) <= max(c["x1"], f["x1"]):
-                continue
-            below = c["y1"] >= (f["y1"] + f["y2"]) / 2
-            far = max(c["y1"] - f["y2"], f["y1"] - c["y2"], 0.0)
-            if far <= reach:
-                found.append((not below, far, c["id"], f["id"]))
-    out: dict = {}
-    for _, _, c, f in sorted(found):
-        if c not in out and f not in out.values():
-            out[c] = f
-    return out
+    rows = [*captions, *figures]
+    k = np.arange(len(rows))
+    return matched(np.array([r["id"] for r in rows], object), [np.array([r[c] for r in rows], float) for c in BOX], k[: len(captions)], k[len(captions) :], reach)
 
 
 def captions(regions: DataFrame) -> DataFrame:
     """doc, page, caption_id, figure_id; reach is twice the page's median region height (the sorted heights' element at half)."""
 
-    def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("id").to_dict("records")
-        heights = sorted(r["y2"] - r["y1"] for r in rows)
-        got = match_captions([r for r in rows if r["kind"] in CAPTION_KINDS], [r for r in rows if r["kind"] in GROUPED_KINDS], 2 * heights[len(heights) // 2])
-        return pd.DataFrame({"doc": key[0], "page": key[1], "caption_id": list(got), "figure_id": list(got.values())})
+    def match(ids, role, *box):
+        heights = np.sort(box[3] - box[1])
+        return matched(ids, box, np.flatnonzero(role == 1), np.flatnonzero(role == 2), 2 * heights[len(heights) // 2]).items()
 
-    return regions.groupBy(*PAGE).applyInPandas(match, "doc string, page int, caption_id string, figure_id string")
+    role = F.when(F.col("kind").isin(CAPTION_KINDS), 1).when(F.col("kind").isin(GROUPED_KINDS), 2).otherwise(0)
+    return ordered.in_pages(regions.select(*PAGE, "id", role.alias("role"), *BOX), ["id"], match, "caption_id string, figure_id string")
 
 
 def parts(ids: np.ndarray, linked: Callable[[slice, slice], np.ndarray]) -> dict:

@@ -117,3 +117,23 @@ def test_reference_columns(spark):
         want |= {(*key, i, g) for i, g in top.items()}
     got = layout.same_columns(spark.createDataFrame(rows, REGIONS)).collect()
     assert len({r[3] for r in got}) > 3 and len(got) == len(want) and set(map(tuple, got)) == want
+
+def test_figure_captions(spark):
+    """Captions as matched pair by pair, on pages without any too."""
+    rows = some_regions(["FigureTitle", "Image", "Table", "Text"])
+    want = set()
+    for key, page in by_page(rows).items():
+        heights = sorted(r["y2"] - r["y1"] for r in page)
+        found = []
+        for c in (r for r in page if r["kind"] == "FigureTitle"):
+            for f in (r for r in page if r["kind"] in layout.GROUPED_KINDS):
+                far = max(c["y1"] - f["y2"], f["y1"] - c["y2"], 0.0)
+                if min(c["x2"], f["x2"]) > max(c["x1"], f["x1"]) and far <= 2 * heights[len(heights) // 2]:
+                    found.append((c["y1"] < (f["y1"] + f["y2"]) / 2, far, c["id"], f["id"]))
+        used = set()
+        for *_, c, f in sorted(found):
+            if not {c, f} & used:
+                used |= {c, f}
+                want.add((*key, c, f))
+    got = layout.captions(spark.createDataFrame(rows, REGIONS)).collect()
+    assert len(got) == len(want) > 10 and set(map(tuple, got)) == want
