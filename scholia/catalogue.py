@@ -97,11 +97,8 @@ def fn_doi_norm(spark, sf):
 @query(r"""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(range(len(w)), lambda k: lpad(k::VARCHAR, 9, '0') || w[k + 1])), lambda x: substr(x, 10)), ' ') AS text
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents)""")
 def fn_inverted_index(spark, sf):
-    words = text.words(F.col("text"))
-    rows = ad.table(spark, sf, "documents").select("doc_id", F.posexplode_outer(words).alias("at", "word"))
-    index_ = F.map_from_entries(F.filter(F.collect_list(F.struct("word", "places")), lambda e: e["word"].isNotNull()))
-    rows = rows.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(index_.alias("m"))
-    return rows.select("doc_id", text.inverted_index_text(F.col("m")).alias("text"))
+    index_ = text.inverted_index(text.words(F.col("text")))
+    return ad.table(spark, sf, "documents").select("doc_id", text.inverted_index_text(index_).alias("text"))
 
 
 @query("SELECT doc_id, 'x$^{' || doc_id || '}$ and y$_{i}$' AS text FROM documents")

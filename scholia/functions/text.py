@@ -1,10 +1,14 @@
-"""Scalar functions over strings, as Column expressions that stay inside the JVM."""
+"""Scalar functions over strings, as Column expressions that stay inside the JVM, but for ``inverted_index``."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: about how many words are indexed at once.
+MOST_WORDS = 500_000
 #: Preview lengths, tokens a word, kinds of exhibits by their names in text.
 PREVIEW, PREVIEW_MOST, TOKENS_PER_WORD = 120, 300, 1.3
 FIGURE = ["figure", "fig", "figures", "figs"]
@@ -100,6 +104,33 @@ def is_references_title(title: Column) -> Column:
     return F.lower(title).contains("references") | F.lower(title).contains("bibliography")
 
 
+def inverted_index(words: Column) -> Column:
+    """A map of each row's words to their places, made within the row; null: null."""
+
+    def of(rows: pa.Array) -> pa.Array:
+        lengths = rows.value_lengths().fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(rows)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        coded = rows.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(row * len(coded.dictionary) + codes, kind="stable")
+        row, codes = row[order], codes[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])
+        first = np.flatnonzero(new)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place[order], pa.int32()))
+        ends = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(rows))))
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), coded.dictionary.take(pa.array(codes[first])), places)
+
+    @F.arrow_udf("map<string, array<int>>")
+    def index(rows: pa.Array) -> pa.Array:
+        before = np.append(0, np.cumsum(rows.value_lengths().fill_null(0).to_numpy().astype(np.int64))[:-1]) if len(rows) else np.zeros(1, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(before // MOST_WORDS)) + 1).tolist(), len(rows)]
+        return pa.concat_arrays([of(rows[start:end]) for start, end in zip(cuts, cuts[1:])])
+
+    return F.when(words.isNotNull(), index(words))
+
+
 def inverted_index_text(index: Column) -> Column:
     """A text from a map of words to their places."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
