@@ -226,9 +226,11 @@ def vec_embedding_text(spark, sf):
 @query()
 def vec_embedder(spark, sf):
     """Hashed embeddings of conversation turns and the nearest of them to the first."""
-    rows = ad.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), vector.hashing_embedder()(F.col("text")).alias("vector"))
-    first = rows.orderBy("chunk_id").head()
-    return vector.nearest(rows, list(first["vector"]), 10, "chunk_id")
+    rows = ad.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), "text")
+    embedded = lambda r: r.select("chunk_id", vector.hashing_embedder()(F.col("text")).alias("vector"))
+    # One text comes to the driver; no other is embedded to find the first.
+    first = embedded(spark.createDataFrame([rows.orderBy("chunk_id", "text").head()], rows.schema).coalesce(1)).head()
+    return vector.nearest(embedded(rows), list(first["vector"]), 10, "chunk_id")
 
 
 # ---- the index ----

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,18 +97,21 @@ def exhibit_text(kind: Column, caption: Column, description: Column, content: Co
 
 
 def hashing_embedder(size: int = 64):
-    """A deterministic embedder for tests and as the default: hashed words, unit length."""
-
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(text):
-            v = np.zeros(size, np.float32)
-            for w in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % size] += 1 if h >> 63 else -1
-            n = float(np.sqrt((v * v).sum()))
-            return (v / n if n else v).tolist()
-
-        return texts.map(one)
+    """A deterministic embedder for tests and as the default: hashed words, unit length; a batch's vectors are one array, whatever the input."""
+
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        known: dict[str, tuple[int, int]] = {}
+        vectors = np.zeros((len(texts), size), np.float32)
+        for v, text in zip(vectors, texts):
+            for w in (text.as_py() or "").lower().split():
+                if w not in known:
+                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                    known[w] = h % size, 1 if h >> 63 else -1
+                at, sign = known[w]
+                v[at] += sign
+        length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+        vectors /= np.where(length > 0, length, 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), pa.array(vectors.ravel()))
 
     return embed
