@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import slices
 from .shared import pick, written
 
 #: Common words of languages; each language's, and the rest of its words, make a histogram.
@@ -24,6 +25,8 @@ MOST_WORDS, WORD_NOISE, LEAST_WORDS = 0.245, 5.0, 40
 LEAST_COMMON = 0.1
 CLASSES = ["a-z", "A-Z", "0-9", "space", "line", "mark", "quote", "symbol", "ascii", "two bytes", "more bytes"]
 SYMBOLS = b"#*$%&|<>"
+#: Fixed value: about how many bytes of texts are counted before their counts are handed on.
+MOST_BYTES = 1_000_000
 
 
 def _class_table() -> np.ndarray:
@@ -86,11 +89,14 @@ def counted(text: str | None) -> tuple[list[int], list[int], list[int]]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, the base counts, base_failed, and the two histograms."""
+    """One row per document: doc_id, lang, the base counts, base_failed, and the two histograms.
+
+    A worker holds one Arrow batch and the counts of about MOST_BYTES of its texts, whatever the input.
+    """
     kinds = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(start, end - start) for b in batches for start, end in slices(b.column(2), MOST_BYTES)):
             found = [counted(t.as_py()) for t in batch.column(2)]
             base = list(zip(*[x[0] for x in found])) or [()] * 5
             yield pa.RecordBatch.from_arrays(
